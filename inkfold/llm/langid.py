@@ -23,15 +23,16 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import prepare, written
+from inkfold.llm.common import prepare
 
-MAX_ROWS = 20_000
+MAX_ROWS = 6_000
 TOP_WORDS, TOP_TRIGRAMS, LEAST = 30_000, 20_000, 2
 PENALTY = 8.0
 FLOOR = -5.0
@@ -70,36 +71,48 @@ class Model:
         self.penalty = penalty
         self.words = self._log_table("word", counts)
         self.trigrams = self._log_table("tri", counts)
-        self.scripts: dict[str, np.ndarray] = {}
+        self.scripts: dict[str, int] = {}  # the languages written in a script, as bits
         for i, lang in enumerate(self.langs):
             total = sum(counts.get((lang, "script"), {}).values())
             for name, n in counts.get((lang, "script"), {}).items():
                 if n * 50 >= total:
-                    self.scripts.setdefault(name, np.zeros(len(self.langs), bool))[i] = True
-
-    def _log_table(self, kind: str, counts) -> dict[str, np.ndarray]:
-        keys = {k for lang in self.langs for k in counts.get((lang, kind), ())}
-        totals = [sum(counts.get((lang, kind), {}).values()) + 0.5 * (len(keys) + 1) for lang in self.langs]
-        table = {k: np.log([(counts.get((lang, kind), {}).get(k, 0) + 0.5) / t for lang, t in zip(self.langs, totals, strict=True)]) for k in keys}
-        table[""] = np.log([0.5 / t for t in totals]) if totals else np.zeros(0)
-        return table
-
-    def word_scores(self, word: str) -> np.ndarray:
-        """Log shares of the languages, at least FLOOR; candidates outside the word's scripts have FLOOR."""
-        w = word.lower()
-        raw = self.words.get(w)
-        if raw is None:
-            other = self.trigrams[""]
-            raw = 0.7 * np.sum([self.trigrams.get(t, other) for t in trigrams(w)], axis=0)
-        allowed = None
-        for c in set(w):
-            known = self.scripts.get(script(c))
-            if known is not None:
-                allowed = known if allowed is None else allowed & known
-        if allowed is not None and allowed.any():
-            raw = np.where(allowed, raw, -np.inf)
-        raw = raw - raw.max()
-        return np.maximum(raw - np.log(np.exp(raw).sum()), FLOOR)
+                    self.scripts[name] = self.scripts.get(name, 0) | 1 << i
+
+    def _log_table(self, kind: str, counts) -> tuple[dict[str, int], np.ndarray]:
+        """Row numbers of the known keys, and log shares by row and language; row 0 is for all others."""
+        keys = sorted({k for lang in self.langs for k in counts.get((lang, kind), ())})
+        table = np.full((len(keys) + 1, len(self.langs)), 0.5)
+        for i, lang in enumerate(self.langs):
+            own = counts.get((lang, kind), {})
+            table[1:, i] += np.fromiter((own.get(k, 0) for k in keys), float, len(keys))
+        return {k: i + 1 for i, k in enumerate(keys)}, np.log(table / table.sum(axis=0))
+
+    def allowed(self, word: str) -> int:
+        """The languages that the word's scripts leave, as bits; all if they leave none."""
+        every = (1 << len(self.langs)) - 1
+        if word.isascii():
+            return self.scripts.get("Latin", 0) or every
+        bits = every
+        for c in set(word):
+            bits &= self.scripts.get(script(c), every)
+        return bits or every
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log shares of the languages, at least FLOOR, a row for each word; languages that a word's scripts rule out have FLOOR."""
+        low = [w.lower() for w in words]
+        known, table = self.words
+        row = np.fromiter((known.get(w, 0) for w in low), np.int64, len(low))
+        raw = table[row]
+        if len(new := np.flatnonzero(row == 0)):
+            known, table = self.trigrams
+            parts = [[known.get(w[i : i + 3], 0) for i in range(len(w) - 2)] for w in (f"<{low[j]}>" for j in new)]
+            ends = np.cumsum([len(p) for p in parts])
+            flat = table[np.fromiter(chain.from_iterable(parts), np.int64, ends[-1])]
+            raw[new] = 0.7 * np.add.reduceat(flat, ends - [len(p) for p in parts], axis=0)
+        bits = np.fromiter(map(self.allowed, low), np.int64, len(low))
+        raw[(bits[:, None] >> np.arange(len(self.langs)) & 1) == 0] = -np.inf
+        raw -= raw.max(axis=1, keepdims=True)
+        return np.maximum(raw - np.log(np.exp(raw).sum(axis=1, keepdims=True)), FLOOR)
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -144,6 +157,8 @@ class Labeller:
         self.table = np.zeros((1024, len(self.model.langs)))
 
     def _scores(self, words: list[str]) -> np.ndarray:
+        if not self.model.langs:
+            return np.zeros((len(words), 0))
         row = self.row
         new = [w for w in dict.fromkeys(words) if w not in row]
         if new:
@@ -152,22 +167,28 @@ class Labeller:
                 row, new = self.row, list(dict.fromkeys(words))
             while len(row) + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            for w in new:
-                self.table[len(row)] = self.model.word_scores(w)
-                row[w] = len(row)
+            first = len(row)
+            self.table[first : first + len(new)] = self.model.word_scores(new)
+            row.update(zip(new, range(first, first + len(new)), strict=True))
         return self.table[np.fromiter(map(row.__getitem__, words), np.int64, len(words))]
 
+    def batch(self, texts: list) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """(language, score, spans) of each text; spans are (start, end, language) in code points, by runs of words."""
+        words = [WORD.findall(t) if t else [] for t in texts]
+        scores = self._scores(list(chain.from_iterable(words)))
+        ends = np.cumsum([len(w) for w in words])
+        return [self._label(t, w, scores[e - len(w) : e]) for t, w, e in zip(texts, words, ends, strict=True)]
+
     def __call__(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """(language, score, spans); spans are (start, end, language) in code points, by runs of words."""
-        words = WORD.findall(text) if text else []
+        return self.batch([text])[0]
+
+    def _label(self, text: str | None, words: list[str], scores: np.ndarray):
         langs = self.model.langs
         if not words or not langs or not any(map(str.isalpha, words)) and not any(c.isalpha() for c in text):
             return UNDETERMINED, 0.0, []
-        scores = self._scores(words)
         a = dominant(scores, self.model.penalty)
         if a >= 0:
-            last = len(text.rstrip("".join(set(text[text.rfind(words[-1]) + len(words[-1]) :]))))
-            return langs[a], 1.0, [(text.find(words[0]), last, langs[a])]
+            return langs[a], 1.0, [(text.find(words[0]), text.rfind(words[-1]) + len(words[-1]), langs[a])]
         path = viterbi(scores, self.model.penalty)
         letters, spans = Counter(), []
         for m, k in zip(WORD.finditer(text), path.tolist(), strict=True):
@@ -234,7 +255,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
         labeller = Labeller(shared.value)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            found = [labeller(t) for t in batch.column(0).to_pylist()]
+            found = labeller.batch(batch.column(0).to_pylist())
             spans = pa.array([[{"start": s, "end": e, "lang": x} for s, e, x in f[2]] for f in found], kind)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans], [*names, "lang_pred", "score", "spans"]
@@ -245,11 +266,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
     return source.mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double, spans {SPANS}")
 
 
-def confident(docs: DataFrame, *, max_rows: int = MAX_ROWS, least: float = 0.5) -> DataFrame:
+def confident(docs: DataFrame, *, max_rows: int = MAX_ROWS, least: float = 0.3) -> DataFrame:
     """Documents whose language is determined: those that are ``und``, or where no language holds the share ``least``, go."""
     model = fit(docs.where(~is_held_out("doc_id")), max_rows=max_rows)
     found = identify(docs, model)
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
 
-
-__all__ = ["Model", "Labeller", "confident", "fit", "identify", "is_held_out", "viterbi", "written"]
