@@ -208,20 +208,23 @@ def digest(found: DataFrame) -> DataFrame:
     text = F.array_join(
         F.transform("spans", lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ","
     )
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+
+    def of_kind(k: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [of_kind(k) for k in range(3)]
     return found.select("doc_id", *counts, "base_sha256", text.alias("spans"))
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", rate: float = RATE, mark: str = "[secret]") -> DataFrame:
     """The documents with every span (base and random) replaced by ``mark``; all rows stay, texts without spans unchanged."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     found = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _scan_batches, f"doc_id {docs.schema[id_col].dataType.simpleString()}, base array<struct<start: int, kind: int, end: int>>, candidates array<struct<start: int, end: int, class: int, bin: int>>, base_sha256 string"
     ).select("candidates").where(F.size("candidates") > 0), "candidates")
     cut = _cuts(found, rate)
     names = docs.columns
     text_at, chars_at = names.index(text_col), names.index(chars_col) if chars_col in names else None
-    del spark
 
     def clean(text: str | None) -> str | None:
         if not text:
