@@ -266,7 +266,7 @@ def power_of_two(x: Column) -> Column:
     """The smallest power of two that isn't below x."""
     n = F.greatest(x.cast("long"), F.lit(1))
     bits = F.length(F.bin(n - 1))
-    return F.when(n <= 1, F.lit(1)).otherwise(F.shiftleft(F.lit(1).cast("long"), bits)).cast("long")
+    return F.when(n <= 1, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), bits)).cast("long")
 
 
 def points_close(x0, y0, x1, y1, eps: float = 1e-3) -> Column:
