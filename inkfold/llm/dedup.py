@@ -13,7 +13,8 @@ How it stays linear and whole:
   tiles of at most ``tile`` + ``tile`` classes, and a tile returns a spanning forest of
   its confirmed links, never all pairs. So no link between candidates is lost and no
   bucket is ever gathered into one task.
-* Full sets are built a second time only for classes that share a bucket.
+* Full sets are built a second time only for classes that share a bucket, and are moved
+  only to places where signatures alone leave a link possible.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing
 and forms its own component. Fewer words than ``ngram`` make the whole sequence one
@@ -169,26 +170,55 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _alike(percent: int):
+    """Of pairs (u, v, su, sv), those whose signatures leave the similarity possible."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                su, sv = _signatures(batch.column(2)), _signatures(batch.column(3))
+                keep = (su == sv).sum(axis=1) >= _least_matches(su.shape[1], percent)
+                yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            u, v, su, sv, xu, xv = (batch.column(i).to_pylist() for i in range(6))
-            keep = []
-            for i in range(len(u)):
-                p, q = np.frombuffer(su[i], np.uint8), np.frombuffer(sv[i], np.uint8)
-                if (p == q).sum() >= _least_matches(len(p), percent) and linked(np.frombuffer(xu[i], np.uint64), np.frombuffer(xv[i], np.uint64), percent):
-                    keep.append(i)
+            u, v, xu, xv = (batch.column(i).to_pylist() for i in range(4))
+            keep = [i for i in range(len(u)) if linked(np.frombuffer(xu[i], np.uint64), np.frombuffer(xv[i], np.uint64), percent)]
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], ["u", "v"])
 
     return run
 
 
+def _tile_alike(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The members of a tile whose signature comes near that of a member of another component."""
+        side, comp, sig = table.column("side").to_numpy(), table.column("comp").to_numpy(), _signatures(table.column("sig"))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        least, keep = _least_matches(sig.shape[1], percent), np.zeros(len(side), bool)
+        for i in left:
+            near = right[((sig[right] == sig[i]).sum(axis=1) >= least) & (comp[right] != comp[i])]
+            if len(near):
+                keep[i] = True
+                keep[near] = True
+        return table.drop_columns(["sig"]).filter(pa.array(keep))
+
+    return run
+
+
 def _tile_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """A spanning forest of the confirmed links between components that meet in this tile."""
         sides = table.column("side").to_pylist()
         node, comp = table.column("node").to_pylist(), table.column("comp").to_pylist()
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in table.column("sig").to_pylist()])
+        sig = _signatures(table.column("sig"))
         sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         root: dict[int, int] = {}
 
@@ -244,6 +274,7 @@ def _tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, tile: int, per
 
     In each bucket the classes of its smallest component stand on one side, all others
     ("strays") on both: strays meet each other and the first component, chunk by chunk.
+    Tiles are first held with signatures alone, which leaves few members; then with sets.
     """
     m = members.join(comps, "node", "left").select("band_key", "node", F.coalesce("comp", "node").alias("comp"))
     split = m.groupBy("band_key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last")
@@ -266,7 +297,10 @@ def _tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, tile: int, per
         .select("band_key", "node", "comp", F.explode(F.when(F.col("stray"), F.concat(with_first, with_stray)).otherwise(as_first)).alias("t"))
         .select("band_key", "t.kind", "t.i", "t.j", "t.side", "node", "comp")
     )
-    return tiles.join(sets, "node").groupBy("band_key", "kind", "i", "j").applyInArrow(_tile_links(percent), "u long, v long")
+    place = ["band_key", "kind", "i", "j"]
+    near = tiles.join(sets.select("node", "sig"), "node").select(*place, "side", "node", "comp", "sig").groupBy(*place)
+    near = written(near.applyInArrow(_tile_alike(percent), "band_key long, kind int, i int, j int, side int, node long, comp long"), "tile-members")
+    return near.join(sets, "node").groupBy(*place).applyInArrow(_tile_links(percent), "u long, v long")
 
 
 def near_duplicates(
@@ -287,15 +321,18 @@ def near_duplicates(
     buckets = written(exploded.groupBy("band_key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("band_key", "hub"), "buckets")
     members = written(exploded.join(buckets, "band_key").select("band_key", "node", "hub").distinct(), "members")
 
-    wanted = members.select("node").distinct().join(classes, "node").select("rep").distinct()
+    # Written, so that the planner knows its size before it decides whether texts must be moved.
+    wanted = written(members.select("node").distinct().join(classes, "node").select("rep").distinct(), "wanted")
     full = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = written(full.mapInArrow(_full_sets(ngram, bands, rows), "node long, sig binary, shingles binary").dropDuplicates(["node"]), "sets")
 
-    one = sets.select(F.col("node").alias("u"), F.col("sig").alias("su"), F.col("shingles").alias("xu"))
-    two = sets.select(F.col("node").alias("v"), F.col("sig").alias("sv"), F.col("shingles").alias("xv"))
+    def of_both(pairs: DataFrame, column: str) -> DataFrame:
+        u, v = (sets.select(F.col("node").alias(x), F.col(column).alias(f"of_{x}")) for x in "uv")
+        return pairs.join(u, "u").join(v, "v").select("u", "v", "of_u", "of_v")
+
     stars = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    pairs = stars.join(one, "u").join(two, "v").select("u", "v", "su", "sv", "xu", "xv")
-    links = written(pairs.mapInArrow(_verify(percent), "u long, v long"), "links")
+    alike = written(of_both(stars, "sig").mapInArrow(_alike(percent), "u long, v long"), "alike")
+    links = written(of_both(alike, "shingles").mapInArrow(_verify(percent), "u long, v long"), "links")
     comps = star_components(links)
     more = written(_tiles(members, comps, sets, tile, percent).distinct(), "tile-links")
     if not more.isEmpty():
