@@ -87,7 +87,6 @@ class Minima:
         self.a = _odd(k, SEED + 1)[:, None]
         self.b = _odd(k, SEED + 2)[:, None]
         self.band_factor = _odd(rows, SEED + 3)[None, :, None]
-        self.band_no = _odd(bands, SEED + 4)[:, None]
 
     def __call__(self, sets: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
         """One column of minima for each of the (non-empty) sets."""
@@ -108,9 +107,9 @@ class Minima:
         return out
 
     def band_keys(self, minima: np.ndarray) -> np.ndarray:
-        """(documents, bands) keys."""
+        """(documents, bands) keys; the lowest byte is the band's number."""
         parts = minima.reshape(self.bands, self.rows, -1) * self.band_factor
-        return _mix(parts.sum(axis=1, dtype=np.uint64) + self.band_no).T
+        return (_mix(parts.sum(axis=1, dtype=np.uint64)) & ~_U(255) | np.arange(self.bands, dtype=np.uint64)[:, None]).T
 
 
 def _signed(x: int) -> int:
@@ -145,7 +144,8 @@ def _full_sets(ngram: int, bands: int, rows: int):
         for batch in batches:
             sets = [s for s in map(shingle, batch.column(0).to_pylist()) if len(s)]
             if sets:
-                low = (minima(sets) & _U(255)).astype(np.uint8).T
+                # Mixed first: the low bytes of multiply-add hashes aren't independent of each other.
+                low = (_mix(minima(sets)) >> _U(56)).astype(np.uint8).T
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_node(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     ["node", "sig", "shingles"],
@@ -197,14 +197,26 @@ def _verify(percent: int):
     return run
 
 
-def _tile_alike(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        """The members of a tile whose signature comes near that of a member of another component."""
+def _partners(sig: np.ndarray, comp: np.ndarray, i: int, right: np.ndarray, band: int, rows: int, least: int) -> np.ndarray:
+    """Those of ``right`` in other components whose signature comes near, and whose first band in common with ``i`` is this one.
+
+    So a pair that meets in many buckets is held in one only. (Signatures hold a byte of each
+    minimum: a pair is lost if four bytes of an earlier band agree by chance, 1 in 10^8.)
+    """
+    same = sig[right] == sig[i]
+    near = np.flatnonzero((same.sum(axis=1) >= least) & (comp[right] != comp[i]))
+    bands = same[near].reshape(len(near), sig.shape[1] // rows, rows).all(axis=2)
+    return right[near[(bands.argmax(axis=1) == band) & bands[:, band]]]
+
+
+def _tile_alike(percent: int, rows: int):
+    def run(key, table):
+        """The members of a tile that have a partner there."""
         side, comp, sig = table.column("side").to_numpy(), table.column("comp").to_numpy(), _signatures(table.column("sig"))
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        least, keep = _least_matches(sig.shape[1], percent), np.zeros(len(side), bool)
+        band, least, keep = key[0].as_py() & 255, _least_matches(sig.shape[1], percent), np.zeros(len(side), bool)
         for i in left:
-            near = right[((sig[right] == sig[i]).sum(axis=1) >= least) & (comp[right] != comp[i])]
+            near = _partners(sig, comp, i, right, band, rows, least)
             if len(near):
                 keep[i] = True
                 keep[near] = True
@@ -213,13 +225,11 @@ def _tile_alike(percent: int):
     return run
 
 
-def _tile_links(percent: int):
-    def run(table: pa.Table) -> pa.Table:
+def _tile_links(percent: int, rows: int):
+    def run(key, table):
         """A spanning forest of the confirmed links between components that meet in this tile."""
-        sides = table.column("side").to_pylist()
-        node, comp = table.column("node").to_pylist(), table.column("comp").to_pylist()
-        sig = _signatures(table.column("sig"))
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        side, comp, sig = table.column("side").to_numpy(), table.column("comp").to_numpy(), _signatures(table.column("sig"))
+        node, sets = table.column("node").to_pylist(), [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -227,13 +237,11 @@ def _tile_links(percent: int):
                 x = root[x]
             return x
 
-        left = [i for i, s in enumerate(sides) if s in (0, 2)]
-        right = [i for i, s in enumerate(sides) if s in (1, 2)]
-        least, out = _least_matches(sig.shape[1], percent), []
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        band, least, out = key[0].as_py() & 255, _least_matches(sig.shape[1], percent), []
         for i in left:
-            near = (sig[right] == sig[i]).sum(axis=1) >= least
-            for j in (r for r, ok in zip(right, near, strict=True) if ok):
-                x, y = find(comp[i]), find(comp[j])
+            for j in _partners(sig, comp, i, right, band, rows, least):
+                x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y and linked(sets[i], sets[j], percent):
                     root[max(x, y)] = min(x, y)
                     out.append((node[i], node[j]))
@@ -269,7 +277,7 @@ def star_components(edges: DataFrame, name: str = "stars") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def _tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, tile: int, percent: int) -> DataFrame:
+def _tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, tile: int, percent: int, rows: int) -> DataFrame:
     """Links between components that share a bucket, by tiles.
 
     In each bucket the classes of its smallest component stand on one side, all others
@@ -299,8 +307,8 @@ def _tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, tile: int, per
     )
     place = ["band_key", "kind", "i", "j"]
     near = tiles.join(sets.select("node", "sig"), "node").select(*place, "side", "node", "comp", "sig").groupBy(*place)
-    near = written(near.applyInArrow(_tile_alike(percent), "band_key long, kind int, i int, j int, side int, node long, comp long"), "tile-members")
-    return near.join(sets, "node").groupBy(*place).applyInArrow(_tile_links(percent), "u long, v long")
+    near = written(near.applyInArrow(_tile_alike(percent, rows), "band_key long, kind int, i int, j int, side int, node long, comp long"), "tile-members")
+    return near.join(sets, "node").groupBy(*place).applyInArrow(_tile_links(percent, rows), "u long, v long")
 
 
 def near_duplicates(
@@ -313,6 +321,8 @@ def near_duplicates(
     Classes are keyed by a 64-bit hash of the sorted set.
     """
     prepare(docs.sparkSession)
+    if bands > 256:
+        raise ValueError("a bucket's key has one byte for its band")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(docs.mapInArrow(_sign(ngram, bands, rows), "doc_id long, n long, node long, bands array<long>"), "signatures")
     classes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
@@ -324,7 +334,9 @@ def near_duplicates(
     # Written, so that the planner knows its size before it decides whether texts must be moved.
     wanted = written(members.select("node").distinct().join(classes, "node").select("rep").distinct(), "wanted")
     full = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = written(full.mapInArrow(_full_sets(ngram, bands, rows), "node long, sig binary, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = written(full.mapInArrow(_full_sets(ngram, bands, rows), "node long, sig binary, shingles binary"), "sets")
+    if sets.count() > wanted.count():  # rows that repeat an id
+        sets = written(sets.dropDuplicates(["node"]), "sets")
 
     def of_both(pairs: DataFrame, column: str) -> DataFrame:
         u, v = (sets.select(F.col("node").alias(x), F.col(column).alias(f"of_{x}")) for x in "uv")
@@ -334,7 +346,7 @@ def near_duplicates(
     alike = written(of_both(stars, "sig").mapInArrow(_alike(percent), "u long, v long"), "alike")
     links = written(of_both(alike, "shingles").mapInArrow(_verify(percent), "u long, v long"), "links")
     comps = star_components(links)
-    more = written(_tiles(members, comps, sets, tile, percent).distinct(), "tile-links")
+    more = written(_tiles(members, comps, sets, tile, percent, rows).distinct(), "tile-links")
     if not more.isEmpty():
         comps = star_components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more))
 
