@@ -331,9 +331,9 @@ def near_duplicates(
     buckets = written(exploded.groupBy("band_key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("band_key", "hub"), "buckets")
     members = written(exploded.join(buckets, "band_key").select("band_key", "node", "hub").distinct(), "members")
 
-    # Written, so that the planner knows its size before it decides whether texts must be moved.
+    # The ids grow with the corpus, so they aren't broadcast: texts are dealt by id at every size.
     wanted = written(members.select("node").distinct().join(classes, "node").select("rep").distinct(), "wanted")
-    full = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    full = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = written(full.mapInArrow(_full_sets(ngram, bands, rows), "node long, sig binary, shingles binary"), "sets")
     if sets.count() > wanted.count():  # rows that repeat an id
         sets = written(sets.dropDuplicates(["node"]), "sets")
