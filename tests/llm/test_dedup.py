@@ -100,3 +100,11 @@ def test_star_components(spark, edges):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert {x: found.get(x, x) for x in root} == root
+
+
+def test_links_that_meet_in_many_buckets(spark):
+    """Short texts that differ in their last word only: a similarity of exactly 0.8, many bands in common, several tiles."""
+    heads = [" ".join(f"{b}{i}" for i in range(11)) for b in "pqr"]
+    rows = [(1000 * h + i, f"{head} last{i}") for h, head in enumerate(heads) for i in range(90)]
+    found = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ngram=4, tile=16).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted((d, 9, d // 1000 * 1000) for d, _ in rows)
