@@ -10,7 +10,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 
@@ -68,6 +69,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a sieve at most: half a million 64-bit words, about 20 MB where they are broadcast.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(df: DataFrame, key: Column, keys: DataFrame, bits: int = SIEVE_BITS) -> tuple[DataFrame, DataFrame]:
+    """Splits ``df`` into (maybe, others): rows whose ``key`` may be in ``keys``, and rows whose key is not.
+
+    ``keys`` (one column of the key's type, a written table) is hashed into a bitmap of about
+    16 bits a key and ``bits`` at most, so what is broadcast has a fixed bound at any size; past
+    it more rows count as maybe. No row moves here: an exact join after it moves few of them.
+    """
+    width = 1 << min(max(keys.count() * 16, 1 << 15).bit_length(), bits.bit_length() - 1)
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(width))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))
+    place = keys.select(at(F.col(keys.columns[0])).alias("p"))
+    words = place.groupBy(F.shiftright("p", 6).alias("_sieve_word")).agg(F.bit_or(bit(F.col("p"))).alias("_sieve_bits"))
+    met = df.withColumn("_sieve_p", at(key)).join(F.broadcast(words), F.shiftright("_sieve_p", 6) == F.col("_sieve_word"), "left")
+    hit = F.coalesce(F.col("_sieve_bits"), F.lit(0)).bitwiseAND(bit(F.col("_sieve_p"))) != 0
+    return met.where(hit).select(df["*"]), met.where(~hit).select(df["*"])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

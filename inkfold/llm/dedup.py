@@ -14,7 +14,9 @@ How it stays linear and whole:
   its confirmed links, never all pairs. So no link between candidates is lost and no
   bucket is ever gathered into one task.
 * Full sets are built a second time only for classes that share a bucket, and are moved
-  only to places where signatures alone leave a link possible.
+  only to places where signatures alone leave a link possible. A bitmap of bounded size
+  (``common.sieve``) picks the rows that exact joins then move, so neither texts nor bands
+  of documents without partners are shuffled.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing
 and forms its own component. Fewer words than ``ngram`` make the whole sequence one
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import Bounded, prepare, written
+from inkfold.llm.common import Bounded, prepare, sieve, written
 
 ROWS_PER_BAND = 4
 BANDS = 24
@@ -308,7 +310,8 @@ def _tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, tile: int, per
     place = ["band_key", "kind", "i", "j"]
     near = tiles.join(sets.select("node", "sig"), "node").select(*place, "side", "node", "comp", "sig").groupBy(*place)
     near = written(near.applyInArrow(_tile_alike(percent, rows), "band_key long, kind int, i int, j int, side int, node long, comp long"), "tile-members")
-    return near.join(sets, "node").groupBy(*place).applyInArrow(_tile_links(percent, rows), "u long, v long")
+    used = written(near.select("node").distinct(), "used")
+    return near.join(sieve(sets, F.col("node"), used)[0], "node").groupBy(*place).applyInArrow(_tile_links(percent, rows), "u long, v long")
 
 
 def near_duplicates(
@@ -328,18 +331,23 @@ def near_duplicates(
     classes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
 
     exploded = signed.where("node is not null").select("node", F.explode("bands").alias("band_key"))
-    buckets = written(exploded.groupBy("band_key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("band_key", "hub"), "buckets")
-    members = written(exploded.join(buckets, "band_key").select("band_key", "node", "hub").distinct(), "members")
+    # Most keys stand alone: they are counted first, so that only the keys of others move with their nodes.
+    shared = written(exploded.groupBy("band_key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("band_key"), "shared")
+    met = written(sieve(exploded, F.col("band_key"), shared)[0].distinct(), "met")
+    buckets = written(met.groupBy("band_key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("band_key", "hub"), "buckets")
+    members = written(met.join(buckets, "band_key").select("band_key", "node", "hub"), "members")
 
     # Written, so that the planner knows its size before it decides whether texts must be moved.
     wanted = written(members.select("node").distinct().join(classes, "node").select("rep").distinct(), "wanted")
-    full = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    full = sieve(docs, F.col("doc_id"), wanted)[0].join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = written(full.mapInArrow(_full_sets(ngram, bands, rows), "node long, sig binary, shingles binary"), "sets")
     if sets.count() > wanted.count():  # rows that repeat an id
         sets = written(sets.dropDuplicates(["node"]), "sets")
 
     def of_both(pairs: DataFrame, column: str) -> DataFrame:
-        u, v = (sets.select(F.col("node").alias(x), F.col(column).alias(f"of_{x}")) for x in "uv")
+        used = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "used")
+        some = sieve(sets, F.col("node"), used)[0]
+        u, v = (some.select(F.col("node").alias(x), F.col(column).alias(f"of_{x}")) for x in "uv")
         return pairs.join(u, "u").join(v, "v").select("u", "v", "of_u", "of_v")
 
     stars = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
@@ -365,10 +373,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_duplicates(docs, **options)
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    kept = written(found.where("kept").groupBy(F.col("doc_id").alias("_kept_id")).agg((F.max("n_shingles") > 0).alias("_worded"), (F.count(F.lit(1)) > 1).alias("_again")), "kept")
-    joined = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]))
-    once = joined.where("not _again").select(docs["*"])
-    if kept.where("_again").isEmpty():
+    stays = F.col("kept")
+    by_id = found.groupBy(F.col("doc_id").alias("_group_id")).agg(F.count_if(stays).alias("_group_stay"), F.coalesce(F.max(F.when(stays, F.col("n_shingles"))) > 0, F.lit(False)).alias("_group_worded"))
+    # Most documents are alone or the first of their group; only the ids of others are compared, and only what may be theirs moves.
+    other = written(by_id.where("_group_stay <> 1"), "other")
+    maybe, once = sieve(docs, F.col(id_col).cast("long"), other.select("_group_id"))
+    joined = maybe.join(other, maybe[id_col].cast("long").eqNullSafe(other["_group_id"]), "left")
+    once = once.union(joined.where("_group_stay is null").select(maybe["*"]))
+    if other.where("_group_stay > 1").isEmpty():
         return once
-    again = joined.where("_again")
-    return once.union(again.where("_worded").select(docs["*"]).dropDuplicates([id_col, text_col])).union(again.where("not _worded").select(docs["*"]))
+    again = joined.where("_group_stay > 1")
+    return once.union(again.where("_group_worded").select(maybe["*"]).dropDuplicates([id_col, text_col])).union(again.where("not _group_worded").select(maybe["*"]))

@@ -3,8 +3,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkfold.llm import dedup
+from inkfold.llm.common import sieve, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,3 +110,26 @@ def test_links_that_meet_in_many_buckets(spark):
     rows = [(1000 * h + i, f"{head} last{i}") for h, head in enumerate(heads) for i in range(90)]
     found = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ngram=4, tile=16).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted((d, 9, d // 1000 * 1000) for d, _ in rows)
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 8])
+def test_sieve(spark, bits):
+    """No row whose key is wanted is among the others, however full the bitmap; with bits enough few others pass."""
+    rows = spark.range(20_000).withColumn("_p", F.lit("clash")).union(spark.createDataFrame([(None, "null")], "id long, _p string"))
+    keys = written(spark.range(0, 20_000, 10).select((F.col("id") - 50).alias("k")).union(spark.createDataFrame([(None,)], "k long")), "test-keys")
+    maybe, others = sieve(rows, F.col("id"), keys, bits)
+    assert maybe.columns == others.columns == ["id", "_p"]
+    maybe, others = {r["id"] for r in maybe.collect()}, {r["id"] for r in others.collect()}
+    assert not maybe & others and len(maybe | others) == 20_001
+    assert {r["k"] for r in keys.collect()} & others == set() and None in maybe
+    assert bits == 1 << 8 or len(maybe) < 5_000
+    maybe, others = sieve(rows, F.col("id"), written(keys.where("false"), "no-keys"), bits)
+    assert maybe.isEmpty() and others.count() == 20_001
+
+
+def test_keep_one_with_odd_rows(odd_docs):
+    kept = dedup.keep_one(odd_docs, ngram=4)
+    assert kept.columns == odd_docs.columns
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
+    ids = {i for i, _, c in brute(rows, 4) if i == c}
+    assert {r["doc_id"] for r in kept.collect()} == ids
