@@ -45,8 +45,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One glyph token for each of a document's first 200 characters (the fixture's shape, not a limit of an operator)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("font"), F.substring("text", 1, 200).alias("line"))
+    """One glyph token for each character of a document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("font"), F.col("text").alias("line"))
     ch = docs.select("doc_id", "font", F.posexplode(F.filter(F.split("line", ""), lambda x: x != "")).alias("pos", "font_char"))
     return ch.withColumn("width", ((F.ascii("font_char") % 10) * 50 + 250).cast("double")).withColumn("is_space", F.col("font_char").isin(" ", "\n", "\t"))
 
