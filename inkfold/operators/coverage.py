@@ -118,29 +118,30 @@ def segment_distance(px, py, x0, y0, cx, cy, x1, y1, prim_type) -> Column:
 SHAPE = ("x0", "y0", "cx", "cy", "x1", "y1")
 
 
-def point_winding(points: DataFrame, segments: DataFrame, cell: float = 8.0) -> DataFrame:
-    """(point_id, fill_id, winding, crossings) of points in the boxes of fills.
+def point_winding(points: DataFrame, segments: DataFrame, cell: float = 8.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, point_id, fill_id, winding, crossings) of points in the boxes of fills; ``by`` are the segments' columns that make ``fill_id`` unique.
 
     Points (point_id, px, py) and fills' boxes meet in grid cells, an equi-join; then each
     pair meets the fill's segments, and sums over them decide.
     """
     c = F.col
-    box = segments.groupBy("fill_id").agg(
+    fill = [*by, "fill_id"]
+    box = segments.groupBy(*fill).agg(
         F.min(F.least("x0", "cx", "x1")).alias("bx0"), F.min(F.least("y0", "cy", "y1")).alias("by0"), F.max(F.greatest("x0", "cx", "x1")).alias("bx1"), F.max(F.greatest("y0", "cy", "y1")).alias("by1")
     )
     at = lambda x: F.floor(c(x) / cell)
     boxes = box.withColumn("gx", F.explode(F.sequence(at("bx0"), at("bx1")))).withColumn("gy", F.explode(F.sequence(at("by0"), at("by1"))))
-    pairs = points.withColumn("gx", at("px")).withColumn("gy", at("py")).join(boxes, ["gx", "gy"]).where("px >= bx0 and px <= bx1 and py >= by0 and py <= by1").select("point_id", "px", "py", "fill_id")
+    pairs = points.withColumn("gx", at("px")).withColumn("gy", at("py")).join(boxes, ["gx", "gy"]).where("px >= bx0 and px <= bx1 and py >= by0 and py <= by1").select("point_id", "px", "py", *fill)
     own = segments.where(c("pos") < MOST_FILL)
     p, q = (c("px"), c("py")), tuple(map(c, SHAPE))
     line = (c("x0"), c("y0"), c("x1"), c("y1"))
     # Lines and curves apart, so that lines stay in short generated code.
-    lines = pairs.join(own.where("prim_type = 0"), "fill_id").select("point_id", "fill_id", line_crossing(*p, *line).alias("w"), line_distance(*p, *line).alias("d"))
+    lines = pairs.join(own.where("prim_type = 0"), fill).select("point_id", *fill, line_crossing(*p, *line).alias("w"), line_distance(*p, *line).alias("d"))
     lines = lines.withColumn("k", F.abs("w"))
-    curves = pairs.join(own.where("prim_type <> 0"), "fill_id").select(
-        "point_id", "fill_id", fill_crossing(*p, *q, F.lit(1)).alias("w"), quadratic_distance(*p, *q).alias("d"), fill_crossings(*p, *q, F.lit(1)).alias("k")
+    curves = pairs.join(own.where("prim_type <> 0"), fill).select(
+        "point_id", *fill, fill_crossing(*p, *q, F.lit(1)).alias("w"), quadratic_distance(*p, *q).alias("d"), fill_crossings(*p, *q, F.lit(1)).alias("k")
     )
-    return lines.unionByName(curves).groupBy("point_id", "fill_id").agg(F.sum("w").cast("long").alias("winding"), F.sum("k").cast("long").alias("crossings"), F.min("d").alias("distance"))
+    return lines.unionByName(curves).groupBy(*by, "point_id", "fill_id").agg(F.sum("w").cast("long").alias("winding"), F.sum("k").cast("long").alias("crossings"), F.min("d").alias("distance"))
 
 
 def fill_alpha(winding: Column, crossings: Column, rule: Column, distance: Column, has_stroke: Column, alpha: Column, zoom: Column) -> Column:
@@ -156,8 +157,8 @@ def text_alpha(winding: Column, distance_px: Column, alpha: Column) -> Column:
     return alpha * (1 - smoothstep(F.lit(-TEXT_AA), F.lit(TEXT_AA), signed))
 
 
-def stroke_points(points: DataFrame, strokes: DataFrame, zoom: float = 1.0, cell: float = 8.0) -> DataFrame:
-    """(point_id, seg_id, distance, coverage) where a stroke covers a point at all."""
+def stroke_points(points: DataFrame, strokes: DataFrame, zoom: float = 1.0, cell: float = 8.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, point_id, seg_id, distance, coverage) where a stroke covers a point at all."""
     c = F.col
     z = F.lit(float(zoom))
     reach = F.when(c("flags").bitwiseAND(1) != 0, F.greatest(0.85 / z, F.lit(1e-4))).otherwise(c("half_width") + F.greatest(1 / z, F.lit(1e-4)))
@@ -170,8 +171,8 @@ def stroke_points(points: DataFrame, strokes: DataFrame, zoom: float = 1.0, cell
     placed = points.withColumn("gx", at("px")).withColumn("gy", at("py"))
     kinds = ((s.where("prim_type = 0"), line_distance(c("px"), c("py"), c("x0"), c("y0"), c("x1"), c("y1"))), (s.where("prim_type <> 0"), quadratic_distance(c("px"), c("py"), *map(c, SHAPE))))
     near = [placed.join(part, ["gx", "gy"]).where("px >= bx0 and px <= bx1 and py >= by0 and py <= by1").withColumn("distance", d) for part, d in kinds]
-    met = near[0].union(near[1]).select("point_id", "seg_id", "half_width", "flags", "distance").withColumn("coverage", stroke_coverage(c("distance"), c("half_width"), c("flags").bitwiseAND(1) != 0, z))
-    return met.where("coverage > 0").select("point_id", "seg_id", "distance", "coverage")
+    met = near[0].union(near[1]).select(*by, "point_id", "seg_id", "half_width", "flags", "distance").withColumn("coverage", stroke_coverage(c("distance"), c("half_width"), c("flags").bitwiseAND(1) != 0, z))
+    return met.where("coverage > 0").select(*by, "point_id", "seg_id", "distance", "coverage")
 
 
 def blend(paint: DataFrame, by: list[str], order: list[str]) -> DataFrame:

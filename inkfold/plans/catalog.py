@@ -184,24 +184,24 @@ def page_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fills(spark, sf_dir):
     r = fixtures.rectangles(spark, sf_dir)
-    return r.select("fill_id", "pos", "x0", "y0", F.col("x1").alias("cx"), F.col("y1").alias("cy"), "x1", "y1", F.lit(0).alias("prim_type"))
+    return r.select("page_no", "fill_id", "pos", "x0", "y0", F.col("x1").alias("cx"), F.col("y1").alias("cy"), "x1", "y1", F.lit(0).alias("prim_type"))
 
 
 def point_winding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.point_winding(fixtures.points(spark), _fills(spark, sf_dir)).select("point_id", "fill_id", "winding", "crossings", *_r("distance"))
+    return coverage.point_winding(fixtures.points(spark), _fills(spark, sf_dir), by=("page_no",)).select("page_no", "point_id", "fill_id", "winding", "crossings", *_r("distance"))
 
 
 def point_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = cull.visible(fixtures.strokes(spark, sf_dir).where("page_no = 1"), stages=3)
-    return coverage.stroke_points(fixtures.points(spark), s).groupBy("point_id").agg(
+    s = cull.visible(fixtures.strokes(spark, sf_dir), stages=3)
+    return coverage.stroke_points(fixtures.points(spark), s, by=("page_no",)).groupBy("page_no", "point_id").agg(
         F.count(F.lit(1)).alias("strokes"), F.min(F.round("distance", 6)).alias("nearest"), F.max(F.round("coverage", 6)).alias("strongest")
     )
 
 
 def point_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = coverage.point_winding(fixtures.points(spark), _fills(spark, sf_dir))
-    paint = w.select("point_id", F.col("fill_id").alias("o"), ((F.col("fill_id") % 4) / 4.0).alias("r"), F.lit(0.25).alias("g"), F.lit(0.5).alias("b"), F.when(F.col("winding") != 0, 0.5).otherwise(0.0).alias("alpha"))
-    return coverage.blend(paint, ["point_id"], ["o"]).select("point_id", *_r("r", "g", "b"))
+    w = coverage.point_winding(fixtures.points(spark), _fills(spark, sf_dir), by=("page_no",))
+    paint = w.select("page_no", "point_id", F.col("fill_id").alias("o"), ((F.col("fill_id") % 4) / 4.0).alias("r"), F.lit(0.25).alias("g"), F.lit(0.5).alias("b"), F.when(F.col("winding") != 0, 0.5).otherwise(0.0).alias("alpha"))
+    return coverage.blend(paint, ["page_no", "point_id"], ["o"]).select("page_no", "point_id", *_r("r", "g", "b"))
 
 
 # ---- files, rasters, atlas, codecs

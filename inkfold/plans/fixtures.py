@@ -88,10 +88,10 @@ def points(spark: SparkSession) -> DataFrame:
 
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed rectangles (four edges each) from the first page's slanted strokes, one for each distinct box."""
-    s = strokes(spark, sf_dir).where("page_no = 1 and x0 <> x1 and y0 <> y1")
-    box = s.select(F.least("x0", "x1").alias("bx0"), F.least("y0", "y1").alias("by0"), F.greatest("x0", "x1").alias("bx1"), F.greatest("y0", "y1").alias("by1")).distinct()
+    """Closed rectangles (four edges each) from slanted strokes, one for each distinct box of a page."""
+    s = strokes(spark, sf_dir).where("x0 <> x1 and y0 <> y1")
+    box = s.select("page_no", F.least("x0", "x1").alias("bx0"), F.least("y0", "y1").alias("by0"), F.greatest("x0", "x1").alias("bx1"), F.greatest("y0", "y1").alias("by1")).distinct()
     box = box.withColumn("fill_id", (F.col("bx0") * 1000000 + F.col("by0") * 10000 + F.col("bx1") - F.col("bx0")).cast("long"))
     edge = lambda i, *names: F.struct(F.lit(i).alias("pos"), *(F.col(n).alias(m) for n, m in zip(names, ("x0", "y0", "x1", "y1"), strict=True)))
     edges = F.array(edge(0, "bx0", "by0", "bx1", "by0"), edge(1, "bx1", "by0", "bx1", "by1"), edge(2, "bx1", "by1", "bx0", "by1"), edge(3, "bx0", "by1", "bx0", "by0"))
-    return box.select("fill_id", F.explode(edges).alias("e")).select("fill_id", "e.*")
+    return box.select("page_no", "fill_id", F.explode(edges).alias("e")).select("page_no", "fill_id", "e.*")
