@@ -26,11 +26,11 @@ BOX = ("min_x", "min_y", "max_x", "max_y")
 
 
 def cull_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cull.stage_counts(cull.cull(fixtures.strokes(spark, sf_dir), stages=3))
+    return cull.stage_counts(cull.cull(fixtures.strokes(spark, sf_dir)))
 
 
 def cull_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cull.reduction(cull.cull(fixtures.strokes(spark, sf_dir), stages=3)).select("page_no", "source", "visible", *_r("pct"))
+    return cull.reduction(cull.cull(fixtures.strokes(spark, sf_dir))).select("page_no", "source", "visible", *_r("pct"))
 
 
 def stroke_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +192,7 @@ def point_winding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = cull.visible(fixtures.strokes(spark, sf_dir), stages=3)
+    s = cull.visible(fixtures.strokes(spark, sf_dir))
     return coverage.stroke_points(fixtures.points(spark), s, by=("page_no",)).groupBy("page_no", "point_id").agg(
         F.count(F.lit(1)).alias("strokes"), F.min(F.round("distance", 6)).alias("nearest"), F.max(F.round("coverage", 6)).alias("strongest")
     )
@@ -285,7 +285,7 @@ def camera_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scene_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cull.cull(fixtures.strokes(spark, sf_dir), stages=3)
+    c = cull.cull(fixtures.strokes(spark, sf_dir))
     g = c.groupBy("page_no").agg(F.count(F.lit(1)).alias("source"), F.count_if(F.coalesce("reason", F.lit("")) != "transparent").alias("merged"), F.count_if(F.col("reason").isNull()).alias("visible"))
     m = metrics.reductions(g).withColumn("used_pct", metrics.utilisation(F.col("visible"), 1024))
     return m.select("page_no", "source", "merged", "visible", *_r("merge_pct", "cull_pct", "total_pct", "used_pct"))
