@@ -1,8 +1,8 @@
 """Secret scans: known forms, and random-looking tokens by a battery of randomness tests.
 
 Known forms are an assignment to a secret's name, an access key id and a long hex run.
-Any other token that could encode key material is tested under the alphabet of the
-encoding it seems to have: chi-squared for uniform symbols, Wald-Wolfowitz runs about the
+Any other token of SHORTEST or more characters, unless a test of its composition that knows
+its length finds an ordinary word, is tested under the alphabet of the encoding it seems to have: chi-squared for uniform symbols, Wald-Wolfowitz runs about the
 alphabet's middle, and lag-one serial correlation. Bonferroni joins the three p-values
 under the hypothesis "random". Benjamini-Hochberg then runs over all tokens of the corpus,
 apart for each class of lengths since short tokens have little power: tokens for which
@@ -51,14 +51,42 @@ ENCODINGS = [
 ]
 
 
+DECIMAL = ("decimal", "0123456789")
+#: Share of random keys that ``composition`` may take for words, at any length.
+MISSED = 0.005
+
+
+def _chi_tail(x: float, d: int) -> float:
+    """P(chi-squared with d degrees >= x), by the Wilson-Hilferty approximation."""
+    z = ((x / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def _classes(symbols: str) -> list[int]:
+    digits, upper, lower = sum(c.isdigit() for c in symbols), sum(c.isupper() for c in symbols), sum(c.islower() for c in symbols)
+    return [digits, upper, lower, len(symbols) - digits - upper - lower]
+
+
+def composition(body: str, alphabet: str) -> float:
+    """p of digits, capitals, small letters and marks this uneven in a random key of this length (G-test).
+
+    A case that the token lacks is taken as absent from its alphabet; digits are not, as
+    their lack is what tells words from keys.
+    """
+    seen, sizes = _classes(body), _classes(alphabet)
+    for case in (1, 2):
+        sizes[case] *= seen[case] > 0
+    n, k = len(body), sum(sizes)
+    free = sum(s > 0 for s in sizes) - 1
+    return _chi_tail(max(0.0, 2 * sum(o * math.log(o * k / (n * s)) for o, s in zip(seen, sizes, strict=True) if o)), free) if free else 1.0
+
+
 def encoding(token: str) -> tuple[str, str] | None:
-    """The smallest alphabet that holds the token; None if it can't be key material: few digits, or no letters."""
+    """The smallest alphabet that holds the token; None if its composition is an ordinary word's, judged by its length."""
     body = token.rstrip("=")
-    digits = sum(c.isdigit() for c in body)
-    if digits < 3 or sum(c.isalpha() for c in body) < 3:
-        return None
     used = set(body)
-    return next(((name, alphabet) for name, alphabet in ENCODINGS if used <= set(alphabet)), None)
+    kind = next(((name, alphabet) for name, alphabet in (DECIMAL, *ENCODINGS) if used <= set(alphabet)), None)
+    return kind if kind and body and composition(body, kind[1]) >= MISSED else None
 
 
 def _two_sided(z: float) -> float:
@@ -66,14 +94,11 @@ def _two_sided(z: float) -> float:
 
 
 def chi_squared(symbols: list[int], k: int) -> float:
-    """p of at least this much unevenness, by the Wilson-Hilferty approximation."""
+    """p of at least this much unevenness."""
     n, counts = len(symbols), [0] * k
     for s in symbols:
         counts[s] += 1
-    x = sum(c * c for c in counts) * k / n - n
-    d = k - 1
-    z = ((x / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d))
-    return 0.5 * math.erfc(z / math.sqrt(2))
+    return _chi_tail(sum(c * c for c in counts) * k / n - n, k - 1)
 
 
 def runs(symbols: list[int], k: int) -> float:
