@@ -7,7 +7,7 @@ of a few labelled URLs isn't carried over to all that share a token with them. A
 index from token to rules, with a count of the tokens met, finds the rules that a URL
 fulfils; the surest decides, else the URL is allowed.
 
-Mining takes a sample of about ``max_rows`` URLs, chosen by a hash of the URL.
+Mining takes all rows: FP-growth is distributed, and equal rows share a path of its trees.
 The rules that come to the driver are bounded by ``minSupport`` and the token limit.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule,
@@ -27,7 +27,6 @@ from inkfold.llm.common import prepare, written
 
 #: (verdict, host, path): a rule fits its host and all subdomains.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-MAX_ROWS = 200_000
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.9, 3
 BLOCK, ALLOW = "=block", "=allow"
 
@@ -64,14 +63,11 @@ def tokens(host: Column, path: Column, query: Column) -> Column:
     return F.array_distinct(F.concat(of("h:", F.split(host, r"\.")), of("p:", F.split(path, "/")), of("q:", keys)))
 
 
-def mine(labelled: DataFrame, *, max_rows: int = MAX_ROWS, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> list[tuple[tuple[str, ...], str, float, float]]:
+def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> list[tuple[tuple[str, ...], str, float, float]]:
     """Rules (tokens, label, confidence, support) from rows (url, tokens, verdict or null), surest first."""
     labelled = labelled.where("size(tokens) > 0")
-    n = labelled.count()
-    if not n:
+    if labelled.isEmpty():
         return []
-    if n > max_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("mine"), "url"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     items = written(labelled.select(F.concat("tokens", F.when(F.col("verdict").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("="), F.col("verdict"))))).alias("items")), "url-items")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW) & (F.size("antecedent") <= max_tokens))
