@@ -10,7 +10,8 @@ programme: if no stretch of words favours the others by more than the switches w
 cost, staying is optimal, and prefix sums show that at C speed.
 
 Fitting uses a sample of about ``max_rows`` labelled rows, chosen by a hash of the id, so
-its cost and the model's size don't grow with the corpus; all rows are predicted.
+its cost and the model's size don't grow with the corpus; all rows are predicted. The sample
+is drawn for each language: rare ones keep all their rows, the others share the rest evenly.
 
 Defined cases: a null text, or one without a letter, gives ``und`` with score 0 and no
 spans, as does any text if no labelled row exists. Ties go to the language that comes
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from inkfold.llm.common import prepare
 
 MAX_ROWS = 6_000
+#: Steps of a sample's share.
+GRAIN = 1 << 40
 TOP_WORDS, TOP_TRIGRAMS, LEAST = 30_000, 20_000, 2
 PENALTY = 8.0
 FLOOR = -5.0
@@ -221,8 +224,17 @@ def is_held_out(id_col: str):
     return F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == HELD_OUT, F.lit(False))
 
 
+def quota(counts: list[int], total: int) -> float:
+    """The most rows of each language so that all together are ``total``: rare ones leave theirs to the others."""
+    for i, n in enumerate(own := sorted(counts)):
+        if n * (len(own) - i) > total:
+            return total / (len(own) - i)
+        total -= n
+    return float("inf")
+
+
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, penalty: float = PENALTY) -> Model:
-    """A model from rows with text and language, sampled by id down to about ``max_rows``.
+    """A model from rows with text and language, sampled by id and language down to about ``max_rows``.
 
     Only words and trigrams seen at least LEAST times, and the most frequent of each
     language, come to the driver: TOP_WORDS + TOP_TRIGRAMS for each language at most.
@@ -230,9 +242,11 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.coalesce("id", F.lit(""))), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
+    if sum(found.values()) > max_rows:
+        most = quota(list(found.values()), max_rows)
+        share = F.create_map(*(x for lang, n in found.items() for x in (F.lit(lang), F.lit(int(GRAIN * min(1.0, most / n))).cast("long"))))
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.coalesce("id", F.lit(""))), F.lit(GRAIN)) < share[F.col("lang")])
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     ranked = counts.where((F.col("n") >= LEAST) | (F.col("kind") == "script")).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")))
     kept = ranked.where(F.col("rank") <= F.when(F.col("kind") == "word", TOP_WORDS).otherwise(TOP_TRIGRAMS)).select("lang", "kind", "key", "n")
