@@ -342,10 +342,27 @@ _CULL = (
     )"""
 )
 
-_GRID = (
-    _STROKE
-    + """, shape0 AS (
-        SELECT page_no, count(*) AS n, min(least(x0, x1)) AS gx0, min(least(y0, y1)) AS gy0, max(greatest(x0, x1)) AS gx1, max(greatest(y0, y1)) AS gy1, max(half_width) AS mhw FROM stroke GROUP BY page_no
+# A stroke inside a dropped opaque one is inside what dropped that one, as the coordinates here are far coarser
+# than the tolerances; so "some earlier opaque cover" is enough and no fold is needed.
+_COVER = (
+    _CULL
+    + """, l0 AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM culled WHERE reason IS NULL),
+    l1 AS (SELECT *, (x1 - x0) / len AS dx, (y1 - y0) / len AS dy FROM l0 WHERE len >= 0.00001),
+    l2 AS (SELECT *, CASE WHEN dx < -1e-10 OR (abs(dx) <= 1e-10 AND dy < 0) THEN -1 ELSE 1 END AS sgn FROM l1),
+    l3 AS (SELECT *, dx * sgn + 0.0::DOUBLE AS ux, dy * sgn + 0.0::DOUBLE AS uy FROM l2),
+    line AS (
+        SELECT page_no, seg_id, half_width, alpha, len, floor(ux * 2000 + 0.5::DOUBLE) AS b0, floor(uy * 2000 + 0.5::DOUBLE) AS b1, floor((-uy * x0 + ux * y0) * 200 + 0.5::DOUBLE) AS b2, flags AS b3,
+            least(x0 * ux + y0 * uy, x1 * ux + y1 * uy) AS s, greatest(x0 * ux + y0 * uy, x1 * ux + y1 * uy) AS e FROM l3
+    ), inside AS (
+        SELECT DISTINCT x.page_no, x.seg_id FROM line x JOIN line o ON x.page_no = o.page_no AND x.b0 = o.b0 AND x.b1 = o.b1 AND x.b2 = o.b2 AND x.b3 = o.b3
+        WHERE o.alpha >= 0.999 AND o.half_width + 0.0001 >= x.half_width AND x.s >= o.s - 0.05 AND x.e <= o.e + 0.05 AND (-o.half_width, -o.len, o.s, o.seg_id) < (-x.half_width, -x.len, x.s, x.seg_id)
+    ), four AS (SELECT c.* EXCLUDE (reason), CASE WHEN i.seg_id IS NOT NULL THEN 'contained' ELSE c.reason END AS reason FROM culled c LEFT JOIN inside i USING (page_no, seg_id))"""
+)
+
+def _grid(rows: str) -> str:
+    """The grid of a table of strokes."""
+    return """ shape0 AS (
+        SELECT page_no, count(*) AS n, min(least(x0, x1)) AS gx0, min(least(y0, y1)) AS gy0, max(greatest(x0, x1)) AS gx1, max(greatest(y0, y1)) AS gy1, max(half_width) AS mhw FROM {rows} GROUP BY page_no
     ), shape1 AS (
         SELECT *, greatest(gx1 - gx0, 1e-5) AS w, greatest(gy1 - gy0, 1e-5) AS h, least(greatest(floor(n / 8 + 0.5), 30000), 220000) AS cells FROM shape0
     ), shape2 AS (SELECT *, floor(sqrt(cells * w / h) + 0.5) AS gw0 FROM shape1
@@ -356,15 +373,17 @@ _GRID = (
         SELECT s.page_no, seg_id, gw, gh, gx0, gy0, w / gw AS cw, h / gh AS ch,
             CAST(CAST(least(x0, x1) - (half_width + 0.35) AS FLOAT) AS DOUBLE) AS bx0, CAST(CAST(least(y0, y1) - (half_width + 0.35) AS FLOAT) AS DOUBLE) AS by0,
             CAST(CAST(greatest(x0, x1) + (half_width + 0.35) AS FLOAT) AS DOUBLE) AS bx1, CAST(CAST(greatest(y0, y1) + (half_width + 0.35) AS FLOAT) AS DOUBLE) AS by1, mhw
-        FROM stroke s JOIN shape g ON s.page_no = g.page_no
+        FROM {rows} s JOIN shape g ON s.page_no = g.page_no
     ), cells AS (
         SELECT page_no, seg_id, gw,
             unnest(range(CAST(least(greatest(floor((by0 - gy0) / ch), 0), gh - 1) AS BIGINT), CAST(least(greatest(floor((by1 - gy0) / ch), 0), gh - 1) AS BIGINT) + 1)) AS r,
             CAST(least(greatest(floor((bx0 - gx0) / cw), 0), gw - 1) AS BIGINT) AS c0, CAST(least(greatest(floor((bx1 - gx0) / cw), 0), gw - 1) AS BIGINT) AS c1
         FROM boxed
     ), entry AS (SELECT page_no, seg_id, r * gw + unnest(range(c0, c1 + 1)) AS cell FROM cells
-    ), pop AS (SELECT page_no, cell, count(*) AS n FROM entry GROUP BY ALL)"""
-)
+   ), pop AS (SELECT page_no, cell, count(*) AS n FROM entry GROUP BY ALL)""".replace("{rows}", rows)
+
+
+_GRID = f"{_STROKE}, {_grid('stroke')}"
 
 _LAYOUT = """
     page0 AS ({pages}),
@@ -379,8 +398,8 @@ _LAYOUT = """
 _PAGES = "SELECT s_suppkey AS page_no, CAST(100 + s_nationkey * 4 AS DOUBLE) AS w, CAST(150 + s_suppkey % 50 AS DOUBLE) AS h FROM supplier"
 
 _TEXT = """
-    line AS (SELECT doc_id, coalesce(lang, '') AS font, substr(text, 1, 200) AS line FROM documents WHERE text IS NOT NULL),
-    tok AS (SELECT doc_id, font, unnest(range(length(line))) AS pos, substr(line, CAST(unnest(range(length(line))) + 1 AS BIGINT), 1) AS ch FROM line),
+    line AS (SELECT doc_id, coalesce(lang, '') AS font, string_split(text, '') AS line FROM documents WHERE text <> ''),
+    tok AS (SELECT doc_id, font, unnest(range(len(line))) AS pos, unnest(line) AS ch FROM line),
     entry AS (SELECT *, CAST((CASE WHEN unicode(ch) < 0 THEN 0 ELSE unicode(ch) END) % 10 * 50 + 250 AS DOUBLE) AS width, ch IN (' ', chr(10), chr(9)) AS is_space FROM tok),
     adv AS (SELECT *, coalesce(sum(width * 10 * 0.001::DOUBLE) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM entry),
     dict AS (SELECT font, ch, count(*) AS n, row_number() OVER (ORDER BY min({'d': doc_id, 'p': pos})) - 1 AS glyph_id FROM entry GROUP BY font, ch)"""
@@ -393,15 +412,15 @@ _LINE = """
 _RECT = (
     _STROKE
     + """, rect AS (
-        SELECT DISTINCT least(x0, x1) AS bx0, least(y0, y1) AS by0, greatest(x0, x1) AS bx1, greatest(y0, y1) AS by1 FROM stroke WHERE page_no = 1 AND x0 <> x1 AND y0 <> y1
+        SELECT DISTINCT page_no, least(x0, x1) AS bx0, least(y0, y1) AS by0, greatest(x0, x1) AS bx1, greatest(y0, y1) AS by1 FROM stroke WHERE x0 <> x1 AND y0 <> y1
     ), fills AS (SELECT *, CAST(bx0 * 1000000 + by0 * 10000 + bx1 - bx0 AS BIGINT) AS fill_id FROM rect
     ), pt AS (SELECT i AS point_id, i % 30 + 0.5::DOUBLE AS px, i // 30 + 0.5::DOUBLE AS py FROM range(900) t(i)
     ), met AS (SELECT * FROM pt JOIN fills ON px BETWEEN bx0 AND bx1 AND py BETWEEN by0 AND by1)"""
 )
 
 ORACLES = {
-    "cull_stage_counts": f"WITH {_CULL} SELECT page_no, coalesce(reason, 'visible') AS reason, count(*) AS n FROM culled GROUP BY ALL",
-    "cull_reduction": f"WITH {_CULL} SELECT page_no, count(*) AS source, count(*) FILTER (reason IS NULL) AS visible, round(greatest(0, (1 - count(*) FILTER (reason IS NULL) / count(*)) * 100), 6) + 0.0::DOUBLE AS pct FROM culled GROUP BY page_no",
+    "cull_stage_counts": f"WITH {_COVER} SELECT page_no, coalesce(reason, 'visible') AS reason, count(*) AS n FROM four GROUP BY ALL",
+    "cull_reduction": f"WITH {_COVER} SELECT page_no, count(*) AS source, count(*) FILTER (reason IS NULL) AS visible, round(greatest(0, (1 - count(*) FILTER (reason IS NULL) / count(*)) * 100), 6) + 0.0::DOUBLE AS pct FROM four GROUP BY page_no",
     "stroke_bounds": f"WITH {_STROKE} SELECT page_no, min(least(x0, x1)) AS min_x, min(least(y0, y1)) AS min_y, max(greatest(x0, x1)) AS max_x, max(greatest(y0, y1)) AS max_y, max(half_width) AS max_half_width FROM stroke GROUP BY page_no",
     "dedup_strokes": f"""WITH {_STROKE}, turned AS (SELECT *, x0 < x1 OR (x0 = x1 AND y0 <= y1) AS fwd FROM stroke)
         SELECT page_no, seg_id FROM turned QUALIFY row_number() OVER (PARTITION BY page_no, CASE WHEN fwd THEN x0 ELSE x1 END, CASE WHEN fwd THEN y0 ELSE y1 END,
@@ -410,6 +429,18 @@ ORACLES = {
         v AS (SELECT *, CASE WHEN dx < -1e-10 OR (abs(dx) <= 1e-10 AND dy < 0) THEN -1 ELSE 1 END AS s FROM u), k AS (SELECT *, dx * s + 0.0::DOUBLE AS ux, dy * s + 0.0::DOUBLE AS uy FROM v)
         SELECT page_no, CAST(floor(ux * 2000 + 0.5::DOUBLE) AS BIGINT) AS b0, CAST(floor(uy * 2000 + 0.5::DOUBLE) AS BIGINT) AS b1, CAST(floor((-uy * x0 + ux * y0) * 200 + 0.5::DOUBLE) AS BIGINT) AS b2,
             CAST(0 AS BIGINT) AS b3, CAST(0 AS BIGINT) AS b4, CAST(0 AS BIGINT) AS b5, CAST(flags AS BIGINT) AS b6, count(*) AS n FROM k GROUP BY ALL""",
+    "contained_strokes": f"WITH {_COVER} SELECT page_no, count(*) AS discarded FROM four WHERE reason = 'contained' GROUP BY page_no",
+    "scene_metrics": f"""WITH {_COVER}, m AS (SELECT page_no, count(*) AS source, count(*) FILTER (coalesce(reason, '') <> 'transparent') AS merged, count(*) FILTER (reason IS NULL) AS visible FROM four GROUP BY page_no),
+        d AS (SELECT *, least(greatest(ceil(sqrt(greatest(visible, 1))), 1), 1024) AS tw FROM m)
+        SELECT page_no, source, merged, visible, round(greatest(0, (1 - merged / source) * 100), 6) + 0.0::DOUBLE AS merge_pct, round(greatest(0, (1 - visible / merged) * 100), 6) + 0.0::DOUBLE AS cull_pct,
+            round(greatest(0, (1 - visible / source) * 100), 6) + 0.0::DOUBLE AS total_pct, round(tw * ceil(greatest(visible, 1) / tw) / (1024.0::DOUBLE * 1024) * 100, 6) + 0.0::DOUBLE AS used_pct FROM d""",
+    "flagship": f"""WITH {_COVER}, left_over AS (SELECT * FROM four WHERE reason IS NULL), {_grid('left_over')},
+        seen0 AS (SELECT *, greatest(16 / 40.0::DOUBLE, 2 * mhw) AS pad FROM boxed),
+        seen AS (SELECT page_no, count(*) AS in_view FROM seen0 WHERE bx1 >= 20 - (800 / 80.0::DOUBLE + pad) AND bx0 <= 20 + (800 / 80.0::DOUBLE + pad) AND by1 >= 15 - (600 / 80.0::DOUBLE + pad) AND by0 <= 15 + (600 / 80.0::DOUBLE + pad) GROUP BY page_no),
+        figures AS (SELECT page_no, count(*) AS source, count(*) FILTER (reason IS NULL) AS visible FROM four GROUP BY page_no),
+        filled AS (SELECT page_no, CAST(sum(n) AS BIGINT) AS entries, max(n) AS max_cell FROM pop GROUP BY page_no)
+        SELECT f.page_no, source, visible, greatest(0, (1 - visible / source) * 100) AS pct, gw, gh, entries, max_cell, in_view
+        FROM figures f JOIN shape USING (page_no) JOIN filled USING (page_no) LEFT JOIN seen USING (page_no)""",
     "grid_population": f"WITH {_GRID} SELECT page_no, cell, n FROM pop",
     "grid_csr": f"WITH {_GRID} SELECT page_no, cell, n, CAST(coalesce(sum(n) OVER (PARTITION BY page_no ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM pop",
     "grid_stats": f"WITH {_GRID} SELECT p.page_no, gw, gh, CAST(sum(p.n) AS BIGINT) AS entries, max(p.n) AS max_cell FROM pop p JOIN shape s ON p.page_no = s.page_no GROUP BY p.page_no, gw, gh",
@@ -447,15 +478,22 @@ ORACLES = {
                 FROM st t JOIN seg s ON s.user_id = t.user_id AND s.rn = t.rn + 1
             )
         ) SELECT user_id, arg_max(ax, rn) AS x0, arg_max(ay, rn) AS y0, arg_max(ex, rn) AS x1, arg_max(ey, rn) AS y1, count(*) AS n FROM st GROUP BY user_id, chain""",
-    "point_winding": f"""WITH {_RECT} SELECT point_id, fill_id, CAST(CASE WHEN px < bx1 AND py >= by0 AND py < by1 THEN 1 ELSE 0 END - CASE WHEN px < bx0 AND py >= by0 AND py < by1 THEN 1 ELSE 0 END AS BIGINT) AS winding,
+    "point_winding": f"""WITH {_RECT} SELECT page_no, point_id, fill_id, CAST(CASE WHEN px < bx1 AND py >= by0 AND py < by1 THEN 1 ELSE 0 END - CASE WHEN px < bx0 AND py >= by0 AND py < by1 THEN 1 ELSE 0 END AS BIGINT) AS winding,
         CAST(CASE WHEN px < bx1 AND py >= by0 AND py < by1 THEN 1 ELSE 0 END + CASE WHEN px < bx0 AND py >= by0 AND py < by1 THEN 1 ELSE 0 END AS BIGINT) AS crossings,
         round(least(px - bx0, bx1 - px, py - by0, by1 - py), 6) AS distance FROM met""",
-    "point_distance": f"""WITH {_CULL}, pt AS (SELECT i AS point_id, i % 30 + 0.5::DOUBLE AS px, i // 30 + 0.5::DOUBLE AS py FROM range(900) t(i)),
-        s AS (SELECT DISTINCT x0, y0, x1, y1, half_width, seg_id, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS sq FROM culled WHERE page_no = 1 AND reason IS NULL),
+    "point_blend": f"""WITH RECURSIVE {_RECT}, paint AS (
+            SELECT page_no, point_id, (fill_id % 4) / 4.0::DOUBLE AS r, CASE WHEN px < bx1 AND py >= by0 AND py < by1 AND NOT px < bx0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS a,
+                row_number() OVER (PARTITION BY page_no, point_id ORDER BY fill_id DESC) AS back FROM met
+        ), share AS (
+            SELECT *, coalesce(exp(sum(ln(1 - a)) OVER (PARTITION BY page_no, point_id ORDER BY back ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1.0::DOUBLE) AS over FROM paint
+        ), total AS (SELECT page_no, point_id, sum(r * a * over) AS r, sum(a * over) AS a FROM share GROUP BY page_no, point_id)
+        SELECT page_no, point_id, round(r + (1 - a), 6) + 0.0::DOUBLE AS r, round(0.25 * a + (1 - a), 6) + 0.0::DOUBLE AS g, round(0.5 * a + (1 - a), 6) + 0.0::DOUBLE AS b FROM total""",
+    "point_distance": f"""WITH {_COVER}, pt AS (SELECT i AS point_id, i % 30 + 0.5::DOUBLE AS px, i // 30 + 0.5::DOUBLE AS py FROM range(900) t(i)),
+        s AS (SELECT page_no, x0, y0, x1, y1, half_width, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS sq FROM four WHERE reason IS NULL),
         t AS (SELECT *, CASE WHEN sq <= 1e-10 THEN 0.0::DOUBLE ELSE least(1, greatest(0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / sq)) END AS t FROM pt CROSS JOIN s),
         d AS (SELECT *, sqrt(pow(px - (x0 + t * (x1 - x0)), 2) + pow(py - (y0 + t * (y1 - y0)), 2)) AS d FROM t),
         k AS (SELECT *, least(1, greatest(0, (d - (half_width - 1)) / 2)) AS k FROM d)
-        SELECT point_id, count(*) AS strokes, round(min(round(d, 6)), 6) AS nearest, max(round(1 - k * k * (3 - 2 * k), 6)) AS strongest FROM k WHERE 1 - k * k * (3 - 2 * k) > 0 GROUP BY point_id""",
+        SELECT page_no, point_id, count(*) AS strokes, round(min(round(d, 6)), 6) AS nearest, max(round(1 - k * k * (3 - 2 * k), 6)) AS strongest FROM k WHERE 1 - k * k * (3 - 2 * k) > 0 GROUP BY page_no, point_id""",
     "catalog_match": """WITH l AS (SELECT p_partkey AS id, p_name || '.pdf' AS name, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM part),
         r AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') || '-parsed-data.zip' AS name, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM part WHERE p_partkey % 3 <> 0),
         lk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lower(name), name, id) AS k FROM l), rk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lower(name), name, id) AS k FROM r)
