@@ -1,4 +1,4 @@
-"""Session helpers: shipping this package to executors, and an f-string-free schema of a matrix."""
+"""Session helpers: shipping this package to executors, and tables in the folder that all machines share."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent.parent
+_MADE: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -19,7 +21,7 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if getattr(sc, "_inkfold_shipped", False):
         return spark
-    folder = tempfile.mkdtemp(prefix="inkfold-")
+    folder = tempfile.mkdtemp(prefix="inkfold-")  # the driver's own: Spark copies the archive to the executors
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     archive = os.path.join(folder, "inkfold.zip")
     with zipfile.ZipFile(archive, "w") as out:
@@ -28,3 +30,55 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(archive)
     sc._inkfold_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset on a single machine (as in tests) a folder of our own is made; on a
+    cluster a missing setting is an error, as no other folder is known to be shared.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        base = f"/tmp/checkpoints/inkfold-{os.getpid()}"
+        os.makedirs(base, exist_ok=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder; ``release`` removes it."""
+    if not _MADE:
+        atexit.register(release, spark)
+    _MADE.append(f"{shared_dir(spark)}/inkfold/{name}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder and reads it again.
+
+    Cuts the lineage with files that outlive any executor, and gives the planner true
+    sizes, so that it alone decides whether a side is small enough to broadcast.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables that this application has put into the shared folder; returns how many.
+
+    To be called when results that read them have been written; the end of the application calls it too.
+    """
+    done, sc = 0, spark.sparkContext
+    if sc._jsc is None:
+        return 0
+    while _MADE:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        done += bool(path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True))
+    return done
