@@ -1,19 +1,15 @@
-"""Session helpers that the training-data operators share."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from inkfold.plans.session import scratch, shared_dir, ship, written
 
-_PACKAGE = Path(__file__).resolve().parent.parent
+__all__ = ["Bounded", "columns", "fields", "fresh", "map_whole", "prepare", "scratch", "shared_dir", "sieve", "table", "written"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -24,49 +20,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    sc = spark.sparkContext
-    if getattr(sc, "_inkfold_shipped", False):
-        return spark
-    folder = tempfile.mkdtemp(prefix="inkfold-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = os.path.join(folder, "inkfold.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(_PACKAGE.rglob("*.py")):
-            out.write(path, str(path.relative_to(_PACKAGE.parent)))
-    sc.addPyFile(archive)
-    sc._inkfold_shipped = True
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (a single machine, as in tests) a folder of our own is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"/tmp/checkpoints/inkfold-{os.getpid()}"
-        os.makedirs(base, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return base.rstrip("/")
+    return ship(spark)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/inkfold/{name}-{uuid.uuid4().hex[:12]}"
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores before it until no column of ``df`` is called so (names don't differ by case alone)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it again.
+def columns(names) -> list[Column]:
+    """Columns of exactly these names, whatever characters they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
-    Cuts the lineage with files that outlive any executor, and gives the planner true
-    sizes, so that it alone decides whether a side is small enough to broadcast.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def fields(df: DataFrame, names) -> list[StructField]:
+    return [df.schema[n] for n in names]
 
 
 #: Bits of a sieve at most: half a million 64-bit words, about 20 MB where they are broadcast.
@@ -80,14 +54,29 @@ def sieve(df: DataFrame, key: Column, keys: DataFrame, bits: int = SIEVE_BITS) -
     16 bits a key and ``bits`` at most, so what is broadcast has a fixed bound at any size; past
     it more rows count as maybe. No row moves here: an exact join after it moves few of them.
     """
+    p, word, held = fresh(df, "_sieve_p", "_sieve_word", "_sieve_bits")
     width = 1 << min(max(keys.count() * 16, 1 << 15).bit_length(), bits.bit_length() - 1)
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(width))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))
-    place = keys.select(at(F.col(keys.columns[0])).alias("p"))
-    words = place.groupBy(F.shiftright("p", 6).alias("_sieve_word")).agg(F.bit_or(bit(F.col("p"))).alias("_sieve_bits"))
-    met = df.withColumn("_sieve_p", at(key)).join(F.broadcast(words), F.shiftright("_sieve_p", 6) == F.col("_sieve_word"), "left")
-    hit = F.coalesce(F.col("_sieve_bits"), F.lit(0)).bitwiseAND(bit(F.col("_sieve_p"))) != 0
-    return met.where(hit).select(df["*"]), met.where(~hit).select(df["*"])
+    place = keys.select(at(F.col(keys.columns[0])).alias(p))
+    words = place.groupBy(F.shiftright(p, 6).alias(word)).agg(F.bit_or(bit(F.col(p))).alias(held))
+    met = df.withColumn(p, at(key)).join(F.broadcast(words), F.shiftright(p, 6) == F.col(word), "left")
+    hit = F.coalesce(F.col(held), F.lit(0)).bitwiseAND(bit(F.col(p))) != 0
+    own = columns(df.columns)
+    return met.where(hit).select(*own), met.where(~hit).select(*own)
+
+
+def map_whole(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever their names: Spark's own fails where a name holds a dot."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    out = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, out_names)
+
+    out_names = out.names
+    return plain.mapInArrow(renamed, out).toDF(*schema.names)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

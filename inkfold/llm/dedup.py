@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import Bounded, prepare, sieve, written
+from inkfold.llm.common import Bounded, columns, fresh, prepare, sieve, written
 
 ROWS_PER_BAND = 4
 BANDS = 24
@@ -41,6 +41,7 @@ THRESHOLD_PERCENT = 80
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SLACK = 6.0
 TILE = 256
+SALTS = 8
 SEED = 0x5EED_0F_1DEA
 
 _U = np.uint64
@@ -146,12 +147,11 @@ def _full_sets(ngram: int, bands: int, rows: int):
         for batch in batches:
             sets = [s for s in map(shingle, batch.column(0).to_pylist()) if len(s)]
             if sets:
+                least = minima(sets)
                 # Mixed first: the low bytes of multiply-add hashes aren't independent of each other.
-                low = (_mix(minima(sets)) >> _U(56)).astype(np.uint8).T
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["node", "sig", "shingles"],
-                )
+                low, keys = (_mix(least) >> _U(56)).astype(np.uint8).T, minima.band_keys(least)
+                held = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (low, keys, sets)]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), *held], ["node", "sig", "keys", "shingles"])
 
     return run
 
@@ -199,38 +199,42 @@ def _verify(percent: int):
     return run
 
 
-def _partners(sig: np.ndarray, comp: np.ndarray, i: int, right: np.ndarray, band: int, rows: int, least: int) -> np.ndarray:
-    """Those of ``right`` in other components whose signature comes near, and whose first band in common with ``i`` is this one.
+def _partners(sig: np.ndarray, keys: np.ndarray, comp: np.ndarray, i: int, right: np.ndarray, band: int, least: int) -> np.ndarray:
+    """Those of ``right`` in other components whose signature comes near, and whose first band key in common with ``i`` is this bucket's.
 
-    So a pair that meets in many buckets is held in one only. (Signatures hold a byte of each
-    minimum: a pair is lost if four bytes of an earlier band agree by chance, 1 in 10^8.)
+    So a pair that meets in many buckets is held in one only: the first key that both have is a
+    bucket of both, whole keys being compared.
     """
-    same = sig[right] == sig[i]
-    near = np.flatnonzero((same.sum(axis=1) >= least) & (comp[right] != comp[i]))
-    bands = same[near].reshape(len(near), sig.shape[1] // rows, rows).all(axis=2)
-    return right[near[(bands.argmax(axis=1) == band) & bands[:, band]]]
+    near = np.flatnonzero(((sig[right] == sig[i]).sum(axis=1) >= least) & (comp[right] != comp[i]))
+    common = keys[right[near]] == keys[i]
+    return right[near[(common.argmax(axis=1) == band) & common[:, band]]]
 
 
-def _tile_alike(percent: int, rows: int):
+def _tile(key, table):
+    sides = table.column("side").to_numpy()
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), _U).reshape(len(table), -1)
+    return np.flatnonzero(sides != 1), np.flatnonzero(sides != 0), key[0].as_py() & 255, table.column("comp").to_numpy(), _signatures(table.column("sig")), keys
+
+
+def _tile_alike(percent: int):
     def run(key, table):
         """The members of a tile that have a partner there."""
-        side, comp, sig = table.column("side").to_numpy(), table.column("comp").to_numpy(), _signatures(table.column("sig"))
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        band, least, keep = key[0].as_py() & 255, _least_matches(sig.shape[1], percent), np.zeros(len(side), bool)
+        left, right, band, comp, sig, keys = _tile(key, table)
+        least, keep = _least_matches(sig.shape[1], percent), np.zeros(len(comp), bool)
         for i in left:
-            near = _partners(sig, comp, i, right, band, rows, least)
+            near = _partners(sig, keys, comp, i, right, band, least)
             if len(near):
                 keep[i] = True
                 keep[near] = True
-        return table.drop_columns(["sig"]).filter(pa.array(keep))
+        return table.drop_columns(["sig", "keys"]).filter(pa.array(keep))
 
     return run
 
 
-def _tile_links(percent: int, rows: int):
+def _tile_links(percent: int):
     def run(key, table):
         """A spanning forest of the confirmed links between components that meet in this tile."""
-        side, comp, sig = table.column("side").to_numpy(), table.column("comp").to_numpy(), _signatures(table.column("sig"))
+        left, right, band, comp, sig, keys = _tile(key, table)
         node, sets = table.column("node").to_pylist(), [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         root: dict[int, int] = {}
 
@@ -239,10 +243,9 @@ def _tile_links(percent: int, rows: int):
                 x = root[x]
             return x
 
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        band, least, out = key[0].as_py() & 255, _least_matches(sig.shape[1], percent), []
+        least, out = _least_matches(sig.shape[1], percent), []
         for i in left:
-            for j in _partners(sig, comp, i, right, band, rows, least):
+            for j in _partners(sig, keys, comp, i, right, band, least):
                 x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y and linked(sets[i], sets[j], percent):
                     root[max(x, y)] = min(x, y)
@@ -279,12 +282,13 @@ def star_components(edges: DataFrame, name: str = "stars") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def _tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, tile: int, percent: int, rows: int) -> DataFrame:
+def _tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, tile: int, percent: int) -> DataFrame:
     """Links between components that share a bucket, by tiles.
 
     In each bucket the classes of its smallest component stand on one side, all others
     ("strays") on both: strays meet each other and the first component, chunk by chunk.
     Tiles are first held with signatures alone, which leaves few members; then with sets.
+    A bucket's counts meet its members by key and salt, so that a large bucket is laid out by many tasks.
     """
     m = members.join(comps, "node", "left").select("band_key", "node", F.coalesce("comp", "node").alias("comp"))
     split = m.groupBy("band_key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last")
@@ -292,7 +296,8 @@ def _tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, tile: int, per
     counts = m.groupBy("band_key").agg(
         F.ceil(F.count_if("stray") / tile).cast("int").alias("ns"), F.ceil(F.count_if(~F.col("stray")) / tile).cast("int").alias("nm")
     )
-    m = m.join(counts, "band_key")
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    m = m.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(SALTS)).cast("int")).join(counts, ["band_key", "salt"])
     chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("stray"), F.col("ns")).otherwise(F.col("nm"))).cast("int")
     pair = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     c = F.col("chunk")
@@ -308,10 +313,10 @@ def _tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, tile: int, per
         .select("band_key", "t.kind", "t.i", "t.j", "t.side", "node", "comp")
     )
     place = ["band_key", "kind", "i", "j"]
-    near = tiles.join(sets.select("node", "sig"), "node").select(*place, "side", "node", "comp", "sig").groupBy(*place)
-    near = written(near.applyInArrow(_tile_alike(percent, rows), "band_key long, kind int, i int, j int, side int, node long, comp long"), "tile-members")
+    near = tiles.join(sets.select("node", "sig", "keys"), "node").select(*place, "side", "node", "comp", "sig", "keys").groupBy(*place)
+    near = written(near.applyInArrow(_tile_alike(percent), "band_key long, kind int, i int, j int, side int, node long, comp long"), "tile-members")
     used = written(near.select("node").distinct(), "used")
-    return near.join(sieve(sets, F.col("node"), used)[0], "node").groupBy(*place).applyInArrow(_tile_links(percent, rows), "u long, v long")
+    return near.join(sieve(sets, F.col("node"), used)[0], "node").groupBy(*place).applyInArrow(_tile_links(percent), "u long, v long")
 
 
 def near_duplicates(
@@ -340,7 +345,7 @@ def near_duplicates(
     # Written, so that the planner knows its size before it decides whether texts must be moved.
     wanted = written(members.select("node").distinct().join(classes, "node").select("rep").distinct(), "wanted")
     full = sieve(docs, F.col("doc_id"), wanted)[0].join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = written(full.mapInArrow(_full_sets(ngram, bands, rows), "node long, sig binary, shingles binary"), "sets")
+    sets = written(full.mapInArrow(_full_sets(ngram, bands, rows), "node long, sig binary, keys binary, shingles binary"), "sets")
     if sets.count() > wanted.count():  # rows that repeat an id
         sets = written(sets.dropDuplicates(["node"]), "sets")
 
@@ -354,7 +359,7 @@ def near_duplicates(
     alike = written(of_both(stars, "sig").mapInArrow(_alike(percent), "u long, v long"), "alike")
     links = written(of_both(alike, "shingles").mapInArrow(_verify(percent), "u long, v long"), "links")
     comps = star_components(links)
-    more = written(_tiles(members, comps, sets, tile, percent, rows).distinct(), "tile-links")
+    more = written(_tiles(members, comps, sets, tile, percent).distinct(), "tile-links")
     if not more.isEmpty():
         comps = star_components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more))
 
@@ -373,14 +378,15 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_duplicates(docs, **options)
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    stays = F.col("kept")
-    by_id = found.groupBy(F.col("doc_id").alias("_group_id")).agg(F.count_if(stays).alias("_group_stay"), F.coalesce(F.max(F.when(stays, F.col("n_shingles"))) > 0, F.lit(False)).alias("_group_worded"))
+    of, stay, worded = fresh(docs, "_group_id", "_group_stay", "_group_worded")
+    own, stays = columns(docs.columns), F.col("kept")
+    by_id = found.groupBy(F.col("doc_id").alias(of)).agg(F.count_if(stays).alias(stay), F.coalesce(F.max(F.when(stays, F.col("n_shingles"))) > 0, F.lit(False)).alias(worded))
     # Most documents are alone or the first of their group; only the ids of others are compared, and only what may be theirs moves.
-    other = written(by_id.where("_group_stay <> 1"), "other")
-    maybe, once = sieve(docs, F.col(id_col).cast("long"), other.select("_group_id"))
-    joined = maybe.join(other, maybe[id_col].cast("long").eqNullSafe(other["_group_id"]), "left")
-    once = once.union(joined.where("_group_stay is null").select(maybe["*"]))
-    if other.where("_group_stay > 1").isEmpty():
+    other = written(by_id.where(F.col(stay) != 1), "other")
+    maybe, once = sieve(docs, F.col(id_col).cast("long"), other.select(of))
+    joined = maybe.join(other, F.col(id_col).cast("long").eqNullSafe(F.col(of)), "left")
+    once = once.union(joined.where(F.col(stay).isNull()).select(*own))
+    if other.where(F.col(stay) > 1).isEmpty():
         return once
-    again = joined.where("_group_stay > 1")
-    return once.union(again.where("_group_worded").select(maybe["*"]).dropDuplicates([id_col, text_col])).union(again.where("not _group_worded").select(maybe["*"]))
+    again = joined.where(F.col(stay) > 1)
+    return once.union(again.where(F.col(worded)).select(*own).dropDuplicates([id_col, text_col])).union(again.where(~F.col(worded)).select(*own))

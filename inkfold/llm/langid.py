@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from inkfold.llm.common import prepare
+from inkfold.llm.common import columns, fields, fresh, map_whole, prepare
 
 MAX_ROWS = 6_000
 #: Steps of a sample's share.
@@ -42,6 +43,8 @@ FLOOR = -5.0
 MEMO = 200_000
 UNDETERMINED = "und"
 HELD_OUT = 2
+#: A clear document's language holds more than this share of its letters: the majority.
+LEAST_SHARE = 0.5
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -256,13 +259,14 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return Model(table, penalty)
 
 
-SPANS = "array<struct<start: int, end: int, lang: string>>"
+SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())])
+FOUND = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("spans", ArrayType(SPAN))])
 
 
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, if None) with ``lang_pred``, ``score`` and ``spans`` (named so; own columns of these names are dropped)."""
+def labelled(docs: DataFrame, model: Model, name: str, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if None) as they are, and ``name``: a struct of lang_pred, score and spans."""
     spark = prepare(docs.sparkSession)
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "spans")]
+    names = list(keep if keep is not None else docs.columns)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -271,18 +275,31 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
         for batch in batches:
             found = labeller.batch(batch.column(0).to_pylist())
             spans = pa.array([[{"start": s, "end": e, "lang": x} for s, e, x in f[2]] for f in found], kind)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans], [*names, "lang_pred", "score", "spans"]
-            )
+            parts = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.StructArray.from_arrays(parts, ["lang_pred", "score", "spans"])], [*names, name])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    source = docs.select(F.col(text_col).alias("_text"), *names)
-    return source.mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double, spans {SPANS}")
+    (text,) = fresh(docs, "_text")
+    source = docs.select(*(c.alias(text) for c in columns([text_col])), *columns(names))
+    return map_whole(source, run, StructType([*fields(docs, names), StructField(name, FOUND)]))
 
 
-def confident(docs: DataFrame, *, max_rows: int = MAX_ROWS, least: float = 0.3) -> DataFrame:
-    """Documents whose language is determined: those that are ``und``, or where no language holds the share ``least``, go."""
-    model = fit(docs.where(~is_held_out("doc_id")), max_rows=max_rows)
-    found = identify(docs, model)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if None) with ``lang_pred``, ``score`` and ``spans`` (named so; own columns of these names are dropped)."""
+    names = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("lang_pred", "score", "spans")]
+    (found,) = fresh(docs, "_found")
+    return labelled(docs, model, found, text_col=text_col, keep=names).select(*columns(names), f"{found}.*")
 
+
+def confident(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, least: float = LEAST_SHARE, languages: list[str] | None = None) -> DataFrame:
+    """The documents whose language is clear, all columns unchanged, whatever their names.
+
+    Those go that are ``und``, in which no language holds more than ``least`` of the letters
+    (texts mixed from several languages), or whose language isn't among ``languages`` (None: all are welcome).
+    """
+    model = fit(docs.where(~is_held_out(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col, max_rows=max_rows)
+    (name,) = fresh(docs, "_found")
+    found = labelled(docs, model, name, text_col=text_col)
+    clear = (F.col(name)["lang_pred"] != UNDETERMINED) & (F.col(name)["score"] > least)
+    if languages is not None:
+        clear &= F.col(name)["lang_pred"].isin(languages)
+    return found.where(clear).select(*columns(docs.columns))

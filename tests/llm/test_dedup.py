@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -133,3 +134,50 @@ def test_keep_one_with_odd_rows(odd_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
     ids = {i for i, _, c in brute(rows, 4) if i == c}
     assert {r["doc_id"] for r in kept.collect()} == ids
+
+
+def test_no_partner_is_lost_in_crowded_buckets():
+    """Pairs at 0.81 to 0.9 in one tile: each is held in exactly one of the buckets that both are in."""
+    rng = np.random.default_rng(4)
+    minima, lost, held = dedup.Minima(dedup.BANDS, dedup.ROWS_PER_BAND), 0, 0
+    for shared in (179, 190):  # of 200: similarities of 0.81 and 0.905
+        for _ in range(125):
+            core = rng.integers(0, 2**63, shared, dtype=np.uint64)
+            sets = [np.unique(np.concatenate([core, rng.integers(0, 2**63, 200 - shared, dtype=np.uint64)])) for _ in range(10)]
+            least = minima(sets)
+            sig, keys = (dedup._mix(least) >> np.uint64(56)).astype(np.uint8).T, minima.band_keys(least)
+            comp, right = np.arange(10), np.arange(10)
+            for i in range(10):
+                found = np.concatenate([dedup._partners(sig, keys, comp, i, right, band, dedup._least_matches(sig.shape[1], 80)) for band in range(dedup.BANDS)])
+                meet = [j for j in range(10) if j != i and (keys[i] == keys[j]).any()]
+                assert sorted(found.tolist()) == meet
+                held, lost = held + len(meet), lost + 9 - len(meet)
+    assert held > 20_000 and lost <= 5
+
+
+def test_families_whose_links_lie_in_crowded_buckets(spark):
+    """Each text has one partner at 0.86 and hundreds below 0.8 that share its buckets; every pair must come out."""
+    rng = random.Random(9)
+    rows, wanted = [], {}
+    for family in range(4):
+        head = [f"f{family}w{i}" for i in range(180)]
+        for pair in range(60):
+            own = [f"f{family}p{pair}x{i}" for i in range(16)]
+            for half in range(2):
+                doc = len(rows)
+                wanted[doc] = doc - half
+                rows.append((doc, " ".join([*head, *own, *(f"d{doc}y{rng.random()}" for _ in range(12))])))
+    found = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ngram=4, tile=32)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == wanted
+
+
+CLASHES = ["score", "spans", "lang_pred", "node", "rep", "_sieve_p", "_sieve_word", "_sieve_bits", "_group_id", "_group_stay", "_group_worded", "_text", "_found", "with.dot", "salt", "p"]
+
+
+def test_clashing_columns_come_back_unchanged(spark, docs):
+    frame = docs.limit(60).withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in CLASHES}).withColumn("Score_", F.lit(7.0))
+    frame = written(frame.union(frame.where("doc_id < 5")), "clashes")
+    kept = dedup.keep_one(frame, ngram=4)
+    assert kept.columns == frame.columns
+    rows = kept.collect()
+    assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in CLASHES)
