@@ -10,10 +10,13 @@ that pattern is used as often as the counts allow. Where no multiset comes near
 cut, and their fronts fill the windows. Only the corpus' last window can stay half empty.
 
 The plan speaks of ranks within a length, so it is as small as the histogram; each
-remainder finds its place from its rank, by prefix sums over input partitions. Checksums
+remainder finds its place from its rank, by prefix sums over input partitions. That table
+has a row for each pair of input partition and length at most, so it grows with the number of
+tasks: the planner broadcasts it while it is small, and joins by (length, task) beyond. Checksums
 of all possible pieces are taken while a text is encoded: texts are read once.
 
-Defined cases: a null text is the empty text, one piece with the end id alone. Rows that
+Defined cases: a null text is the empty text, one piece with the end id alone. The string of an
+added token of the vocabulary file gets that token's id, as the library does by default. Rows that
 repeat an id are packed separately. An empty table gives an empty result. Columns other
 than the id and the text are ignored.
 """
@@ -156,32 +159,46 @@ class Encoder:
     """Ids of a vocabulary file of the ``tokenizers`` library (byte-level BPE), as little-endian uint32 bytes.
 
     The file's tokens and merges become ranks; as merges are numbered in the order in
-    which they apply, the ids equal that library's, special strings being ordinary text.
+    which they apply, the ids equal that library's. As there, the file's added tokens get their
+    own ids wherever their strings stand in a text, which is cut there first (``specials``: string to id).
     A text without two white-space characters in a row needs no look-ahead in the pattern,
     and matches several times as fast without it.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, specials: dict[str, int] | None = None):
         make = lambda p: tiktoken.Encoding("packing", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.any, self.plain = make(pattern), make(pattern.replace(LOOK_AHEAD, ""))
         self.runs = re.compile(r"\s\s").search if LOOK_AHEAD in pattern else bool
+        self.specials = specials or {}
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.specials, key=lambda t: (-len(t), t)))) if self.specials else None
 
     def encode(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._plain(text[at : m.start()]), self.specials[m[0]].to_bytes(4, "little")]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
         return np.array((self.any if self.runs(text) else self.plain)(text), "<u4").tobytes()
 
 
-def byte_level_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to ids from a byte-level BPE file whose merges are numbered in order."""
+def byte_level(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes to ids, and added tokens to ids, from a byte-level BPE file whose merges are numbered in order."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # printable bytes stand for themselves, the others follow from 256
     letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {t["content"] for t in spec["added_tokens"]}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["content"]}
+    if any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at their neighbours aren't supported")
     vocabulary = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
     order = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in spec["model"]["merges"]]
     if order != sorted(order):
         raise ValueError("the merges of this vocabulary aren't numbered in order")
-    return {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+    return {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}, special
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -191,7 +208,7 @@ def _pieces(ranks, pattern: str, path: str, size: int, end_id: int):
     def run(batches):
         if (path, pattern) not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[path, pattern] = Encoder(ranks.value, pattern)
+            _ENCODERS[path, pattern] = Encoder(ranks.value[0], pattern, ranks.value[1])
         encode, task = _ENCODERS[path, pattern].encode, TaskContext.get().partitionId()
         end, step = end_id.to_bytes(4, "little"), 4 * size
         ranks_of, chunks = defaultdict(int), 0
@@ -247,7 +264,7 @@ def pack(docs: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "
     spark = prepare(docs.sparkSession)
     if not 2 <= size <= 1 << 16 or size & (size - 1):
         raise ValueError("size must be a power of two up to 65536: the plan's cost depends on it")
-    ranks = spark.sparkContext.broadcast(byte_level_ranks(vocabulary_path))
+    ranks = spark.sparkContext.broadcast(byte_level(vocabulary_path))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = written(docs.mapInArrow(_pieces(ranks, pattern, vocabulary_path, size, end_id), PIECES), "pieces")
 

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import zlib
@@ -61,7 +62,6 @@ def test_encode_and_decode(odd_docs):
 
 def check_packed(frame, size=2048):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = sorted(((r["doc_id"], [*t.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in frame.collect()), key=str)
     rows = packing.pack(frame, P.path("byte_bpe_50k.json"), P.PATTERN, size=size).collect()
     filled, used, total = defaultdict(list), defaultdict(int), 0
@@ -88,8 +88,25 @@ def check_packed(frame, size=2048):
     return (total - n) / max(1, n)
 
 
+SPECIAL = st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "a", "It's", "\n", "é", "12"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(SPECIAL, max_size=12).map("".join))
+def test_same_ids_as_library_with_added_tokens(text):
+    encoder, library = encoders()
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def encoders():
+    ranks, specials = packing.byte_level(P.path("byte_bpe_50k.json"))
+    return packing.Encoder(ranks, P.PATTERN, specials), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
 def test_packing(docs, odd_docs, no_docs):
     assert check_packed(docs) < 0.02
+    assert odd_docs.where("text like '%<|endoftext|>%'").count() == 1
     check_packed(odd_docs)
     assert packing.pack(no_docs, P.path("byte_bpe_50k.json"), P.PATTERN).collect() == []
 
