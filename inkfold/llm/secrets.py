@@ -1,16 +1,26 @@
 """Secret scans: known forms, and random-looking tokens by a battery of randomness tests.
 
-Known forms are an assignment to a secret's name, an access key id and a long hex run.
-Any other token of SHORTEST or more characters, unless a test of its composition that knows
-its length finds an ordinary word, is tested under the alphabet of the encoding it seems to have: chi-squared for uniform symbols, Wald-Wolfowitz runs about the
-alphabet's middle, and lag-one serial correlation. Bonferroni joins the three p-values
-under the hypothesis "random". Benjamini-Hochberg then runs over all tokens of the corpus,
-apart for each class of lengths since short tokens have little power: tokens for which
-"random" is rejected are ordinary, the others are reported. The procedure needs only a
-histogram of p-values by length class, whose size is fixed.
+Known forms are an assignment to a secret's name, an access key id and a long hex run. Any
+other token of SHORTEST or more characters is tested in two steps, under the alphabet of the
+encoding that it seems to have.
+
+* The battery, under the hypothesis "random": chi-squared for uniform symbols, Wald-Wolfowitz
+  runs about the alphabet's middle, lag-one serial correlation, joined by Bonferroni. A token
+  that fails it (repetitions, sequences, alternations) is ordinary.
+* The null hypothesis that discoveries are controlled under is "ordinary": a chain over letters,
+  digits, capitals and marks whose counts are of all texts of the corpus. How much likelier the
+  token is as a random string than as an ordinary one bounds its p-value (p <= ordinary / random,
+  by Markov's inequality), so the power grows with the length, and words, identifiers and paths,
+  which the chain explains, stay at 1. A token that fails the battery gets p = 1.
+
+Benjamini-Hochberg runs over the p-values of all tokens of the corpus, apart for each class of
+lengths since short tokens have little power; tokens for which "ordinary" is rejected are
+reported, so RATE bounds the expected share of ordinary tokens among them. The procedure needs
+only pair counts and a histogram of p-values by length class, both of fixed size.
 
 Defined cases: a null text is the empty text and has no spans. Offsets count code points,
-ends are exclusive. Columns other than the id and the text are ignored.
+ends are exclusive. Columns other than the id and the text are ignored. Without any token the
+result has base spans only.
 """
 
 from __future__ import annotations
@@ -19,11 +29,12 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import prepare, written
+from inkfold.llm.common import columns, map_whole, prepare, written
 
 RATE = 0.05
 SHORTEST = 20
@@ -51,9 +62,15 @@ ENCODINGS = [
 ]
 
 
-DECIMAL = ("decimal", "0123456789")
-#: Share of random keys that ``composition`` may take for words, at any length.
-MISSED = 0.005
+ALPHABETS = [("decimal", "0123456789"), *ENCODINGS]
+#: Least p of the battery for a token to count as random.
+BATTERY = 0.005
+
+
+def encoding(token: str) -> tuple[str, str] | None:
+    """The smallest alphabet that holds the token."""
+    used = set(token.rstrip("="))
+    return next(((name, alphabet) for name, alphabet in ALPHABETS if used and used <= set(alphabet)), None)
 
 
 def _chi_tail(x: float, d: int) -> float:
@@ -62,33 +79,6 @@ def _chi_tail(x: float, d: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def _classes(symbols: str) -> list[int]:
-    digits, upper, lower = sum(c.isdigit() for c in symbols), sum(c.isupper() for c in symbols), sum(c.islower() for c in symbols)
-    return [digits, upper, lower, len(symbols) - digits - upper - lower]
-
-
-def composition(body: str, alphabet: str) -> float:
-    """p of digits, capitals, small letters and marks this uneven in a random key of this length (G-test).
-
-    A case that the token lacks is taken as absent from its alphabet; digits are not, as
-    their lack is what tells words from keys.
-    """
-    seen, sizes = _classes(body), _classes(alphabet)
-    for case in (1, 2):
-        sizes[case] *= seen[case] > 0
-    n, k = len(body), sum(sizes)
-    free = sum(s > 0 for s in sizes) - 1
-    return _chi_tail(max(0.0, 2 * sum(o * math.log(o * k / (n * s)) for o, s in zip(seen, sizes, strict=True) if o)), free) if free else 1.0
-
-
-def encoding(token: str) -> tuple[str, str] | None:
-    """The smallest alphabet that holds the token; None if its composition is an ordinary word's, judged by its length."""
-    body = token.rstrip("=")
-    used = set(body)
-    kind = next(((name, alphabet) for name, alphabet in (DECIMAL, *ENCODINGS) if used <= set(alphabet)), None)
-    return kind if kind and body and composition(body, kind[1]) >= MISSED else None
-
-
 def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -131,14 +121,82 @@ def p_random(token: str, alphabet: str) -> float:
     return min(1.0, 3 * min(chi_squared(symbols, len(alphabet)), runs(symbols, len(alphabet)), serial(symbols)))
 
 
+#: Symbols of the chain: small letters, capitals, digits, marks; all else breaks it.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+_N = len(SYMBOLS) + 1
+_TABLE = bytes(SYMBOLS.find(chr(b)) if chr(b) in SYMBOLS else _N - 1 for b in range(256))
+_KIND = np.array([0] * 26 + [1] * 26 + [2] * 10 + [3] * 4)
+
+
+def pair_counts(texts: list) -> np.ndarray:
+    """How often each symbol follows each other one, as a flat array of _N * _N counts."""
+    at = np.frombuffer("\n".join(t for t in texts if t).encode("utf-8", "surrogatepass").translate(_TABLE), np.uint8)
+    out = np.zeros(_N * _N, np.int64)
+    for lo in range(0, len(at) - 1, 1 << 20):
+        part = at[lo : lo + (1 << 20) + 1].astype(np.uint16)
+        out += np.bincount(part[:-1] * np.uint16(_N) + part[1:], minlength=_N * _N)
+    return out
+
+
+class Ordinary:
+    """The chain of ordinary tokens: kind of symbol by the kind before, then letter by the letter before.
+
+    Both are mixed with even shares, so that what a small corpus hasn't shown isn't impossible:
+    a fifth for kinds (identifiers change kinds more often than prose does), a tenth for letters.
+    """
+
+    def __init__(self, counts):
+        pairs = np.asarray(counts, float).reshape(_N, _N)[:-1, :-1]
+        ends = np.zeros((len(SYMBOLS), 4))
+        ends[np.arange(len(SYMBOLS)), _KIND] = 1
+        kinds = ends.T @ pairs @ ends + 1
+        self.kind = np.log(0.8 * kinds / kinds.sum(axis=1, keepdims=True) + 0.05)
+        letters = pairs[:52, :52].reshape(2, 26, 2, 26).sum(axis=(0, 2)) + 1 / 26
+        first = letters.sum(axis=0)
+        even = lambda x: np.log(0.9 * x / x.sum(axis=-1, keepdims=True) + 0.1 / 26)
+        self.letter, self.first = even(letters), even(first)
+        self.alone = np.log(np.array([0, 0, 0.1, 0.25]), where=[False, False, True, True], out=np.zeros(4))
+
+    def log_p(self, body: str) -> float:
+        """Half as it stands; half as words in capitals, which read like small ones."""
+        own = self._log_p(body)
+        return math.log(0.5) + (np.logaddexp(own, self._log_p(body.lower())) if body.upper() == body != body.lower() else own)
+
+    def _log_p(self, body: str) -> float:
+        at = [SYMBOLS.index(c) for c in body]
+        kinds, total, before = _KIND[at], -math.log(4), None
+        for i, (x, k) in enumerate(zip(at, kinds, strict=True)):
+            if i:
+                total += self.kind[kinds[i - 1], k]
+            if k > 1:
+                total += self.alone[k]
+            else:
+                total += self.first[x % 26] if before is None else self.letter[before, x % 26]
+            before = x % 26 if k < 2 else None
+        return float(total)
+
+
+def p_ordinary(token: str, alphabet: str, chain: Ordinary) -> float:
+    """A bound of the p-value of a token this random if it were an ordinary one; 1 if the battery finds it not random."""
+    if p_random(token, alphabet) < BATTERY:
+        return 1.0
+    body = token.rstrip("=")
+    more = math.log(len(ALPHABETS)) + chain.log_p(body) + len(body) * math.log(len(alphabet))
+    return math.exp(more) if more < 0 else 1.0
+
+
 def length_class(n: int) -> int:
     return sum(n >= x for x in CLASSES)
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """Base spans as (start, kind number, end), in order; candidates as (start, end, length class, bin of p).
+def _bin(p: float) -> int:
+    return min(DEEPEST * STEPS, int(-math.log10(p) * STEPS)) if p > 0 else DEEPEST * STEPS
+
 
-    A candidate that lies in a base span is not tested.
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
+    """Base spans as (start, kind number, end), in order; tokens to test as (start, end, token).
+
+    A token that meets a base span is not tested; both are in order, so one sweep tells.
     """
     base = []
     low = text.lower()
@@ -154,38 +212,91 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         found += [(at + m.start(), at + m.end(), m[0]) for m in TOKEN.finditer(word)]
         at += len(word)
     base.sort()
-    candidates = []
+    covered = []
+    for s, _, e in base:
+        if covered and s < covered[-1][1]:
+            covered[-1][1] = max(e, covered[-1][1])
+        else:
+            covered.append([s, e])
+    tokens, i = [], 0
     for start, end, token in found:
-        kind = encoding(token)
-        if kind and not any(s < end and start < e for s, _, e in base):
-            p = p_random(token, kind[1])
-            deep = min(DEEPEST * STEPS, int(-math.log10(p) * STEPS)) if p > 0 else DEEPEST * STEPS
-            candidates.append((start, end, length_class(end - start), deep))
-    return base, candidates
+        while i < len(covered) and covered[i][1] <= start:
+            i += 1
+        if (i == len(covered) or covered[i][0] >= end) and encoding(token):
+            tokens.append((start, end, token))
+    return base, tokens
 
 
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _scan_batches(batches):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    maybe = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("bin", pa.int32())]))
-    for batch in batches:
-        found = [scan(t or "") for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in b] for b, _ in found], kind),
-                pa.array([[{"start": s, "end": e, "class": c, "bin": d} for s, e, c, d in x] for _, x in found], maybe),
-                pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found], pa.string()),
-            ],
-            ["doc_id", "base", "candidates", "base_sha256"],
-        )
+_SPANS = "array<struct<start: int, kind: int, end: int>>"
+_TOKENS = "array<struct<start: int, end: int, token: string>>"
+_TESTED = "array<struct<start: int, end: int, class: int, bin: int>>"
+
+
+def _scan_batches(with_base: bool):
+    """A row for each text, and at a task's end one of the task's pair counts."""
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    tokens = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string())]))
+
+    def batch_of(ids, found, pairs):
+        base = [None if b is None or not with_base else [{"start": s, "kind": k, "end": e} for s, k, e in b] for b, _ in found]
+        sha = [None if b is None or not with_base else hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found]
+        tests = [[{"start": s, "end": e, "token": t} for s, e, t in x] for _, x in found]
+        columns = [ids, pa.array(base, spans), pa.array(tests, tokens), pa.array(sha, pa.string()), pa.array([pairs] * len(found), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "base", "tokens", "base_sha256", "pairs"])
+
+    def run(batches):
+        pairs, kind = np.zeros(_N * _N, np.int64), None
+        for batch in batches:
+            texts, kind = batch.column(1).to_pylist(), batch.column(0).type
+            pairs += pair_counts(texts)
+            yield batch_of(batch.column(0), [scan(t or "") for t in texts], None)
+        if kind is not None:
+            yield batch_of(pa.nulls(1, kind), [(None, [])], pairs.tolist())
+
+    return run
+
+
+def _scanned(docs: DataFrame, id_col: str, text_col: str, with_base: bool) -> DataFrame:
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(*(c.alias(n) for c, n in zip(columns([id_col, text_col]), ["doc_id", "text"], strict=True)))
+    return source.mapInArrow(_scan_batches(with_base), f"doc_id {kind}, base {_SPANS}, tokens {_TOKENS}, base_sha256 string, pairs array<long>")
+
+
+def _chain(found: DataFrame) -> Ordinary:
+    """From the tasks' counts: one row for each pair of symbols."""
+    counts = found.where("pairs is not null").select(F.posexplode("pairs").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(_N * _N)
+    for r in counts:
+        out[r["at"]] = r["n"]
+    return Ordinary(out)
+
+
+def _tested(found: DataFrame, chain: Ordinary) -> DataFrame:
+    """(doc_id, base, base_sha256, candidates): tokens with their length class and bin of p."""
+    tested = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("bin", pa.int32())]))
+
+    def run(batches):
+        for batch in batches:
+            own = [[_test(x["start"], x["end"], x["token"], chain) for x in row] for row in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([[dict(zip(("start", "end", "class", "bin"), x, strict=True)) for x in row] for row in own], tested)], ["doc_id", "base", "base_sha256", "candidates"]
+            )
+
+    kind = found.schema["doc_id"].dataType.simpleString()
+    rows = found.where("pairs is null").select("doc_id", "base", "base_sha256", "tokens")
+    return rows.mapInArrow(run, f"doc_id {kind}, base {_SPANS}, base_sha256 string, candidates {_TESTED}")
+
+
+def _test(start: int, end: int, token: str, chain: Ordinary) -> tuple[int, int, int, int]:
+    return start, end, length_class(end - start), _bin(p_ordinary(token, encoding(token)[1], chain))
 
 
 def cuts(histogram: list[tuple[int, int, int]], rate: float = RATE) -> dict[int, int]:
-    """Benjamini-Hochberg by length class: from which bin on "random" is rejected.
+    """Benjamini-Hochberg by length class: from which bin on "ordinary" is rejected.
 
     histogram: (class, bin, count). A bin stands for its largest p, so rejections are never
     more than the exact procedure's.
@@ -205,26 +316,24 @@ def cuts(histogram: list[tuple[int, int, int]], rate: float = RATE) -> dict[int,
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """(doc_id, base, base_sha256, spans): arrays of (start, kind, end), kinds numbered as in KINDS."""
     prepare(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    spans = "array<struct<start: int, kind: int, end: int>>"
-    schema = f"doc_id {kind}, base {spans}, candidates array<struct<start: int, end: int, class: int, bin: int>>, base_sha256 string"
-    found = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan_batches, schema), "secrets")
-    cut = _cuts(found, rate)
+    found = written(_scanned(docs, id_col, text_col, True), "secrets")
+    tested = written(_tested(found, _chain(found)), "tokens")
+    cut = _cuts(tested, rate)
     random = F.transform(
         F.filter("candidates", lambda x: _passes(x["class"], x["bin"], cut)), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end"))
     )
-    return found.select("doc_id", "base", "base_sha256", F.array_sort(F.concat("base", random)).alias("spans"))
+    return tested.select("doc_id", "base", "base_sha256", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
 def _passes(c, b, cut: dict[int, int]):
-    out = F.lit(True)
+    out = F.lit(False)
     for k, first in sorted(cut.items()):
-        out = F.when(c == k, b < first).otherwise(out)
+        out = F.when(c == k, b >= first).otherwise(out)
     return out
 
 
-def _cuts(found: DataFrame, rate: float) -> dict[int, int]:
-    counted = found.select(F.explode("candidates").alias("x")).groupBy("x.class", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+def _cuts(tested: DataFrame, rate: float) -> dict[int, int]:
+    counted = tested.select(F.explode("candidates").alias("x")).groupBy("x.class", "x.bin").agg(F.count(F.lit(1)).alias("n"))
     return cuts([tuple(r) for r in counted.collect()], rate)  # one row for each class and bin at most
 
 
@@ -242,20 +351,27 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", rate: float = RATE, mark: str = "[secret]") -> DataFrame:
-    """The documents with every span (base and random) replaced by ``mark``; all rows stay, texts without spans unchanged."""
+    """The documents with every span (base and random) replaced by ``mark``; all rows stay, texts without spans unchanged.
+
+    The first pass keeps only the tokens to test and the pair counts. The second scans each text again
+    while it masks: that costs less than a copy of all texts with their spans, to be written and read.
+    """
     prepare(docs.sparkSession)
-    found = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _scan_batches, f"doc_id {docs.schema[id_col].dataType.simpleString()}, base array<struct<start: int, kind: int, end: int>>, candidates array<struct<start: int, end: int, class: int, bin: int>>, base_sha256 string"
-    ).select("candidates").where(F.size("candidates") > 0), "candidates")
-    cut = _cuts(found, rate)
+    found = written(_scanned(docs, id_col, text_col, False).where("size(tokens) > 0 or pairs is not null"), "tokens")
+    chain = _chain(found)
+    cut = _cuts(_tested(found, chain), rate)
     names = docs.columns
     text_at, chars_at = names.index(text_col), names.index(chars_col) if chars_col in names else None
 
+    def random(token: str) -> bool:
+        _, _, c, b = _test(0, len(token), token, chain)
+        return b >= cut.get(c, DEEPEST * STEPS + 1)
+
     def clean(text: str | None) -> str | None:
         if not text:
             return text
-        base, candidates = scan(text)
-        spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, c, b in candidates if b < cut.get(c, DEEPEST * STEPS + 1)])
+        base, tokens = scan(text)
+        spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, t in tokens if random(t)])
         out, at = [], 0
         for s, e in spans:
             if e <= at:
@@ -276,4 +392,4 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
                 columns[chars_at] = pa.array([len(b) if a != b else n for a, b, n in zip(before, after, old, strict=True)], columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole(docs, run, docs.schema)

@@ -1,9 +1,16 @@
 import hashlib
+import itertools
+import math
+import random
 import re
+import string
 import struct
+import time
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkfold.llm import licenses, media, secrets
 
@@ -77,18 +84,117 @@ def test_base_spans(docs, odd_docs, no_docs):
             assert any(set(filter(None, text_of(w).split(","))) <= set(r["spans"].split(",")) for w in wanted)
 
 
-def test_battery_tells_random_from_ordinary():
+def test_battery_tells_random_from_regular():
     token = hashlib.sha256(b"x").hexdigest() + hashlib.sha256(b"y").hexdigest()
     assert secrets.p_random(token, "0123456789abcdef") > 0.01
     assert secrets.p_random("0123456789abcdef" * 4, "0123456789abcdef") < 1e-6
     assert secrets.p_random("a1" * 30, secrets.ENCODINGS[3][1]) < 1e-6
-    assert secrets.encoding("justalongordinarywordwithoutdigits") is None
+    rng = random.Random(5)
+    for _, alphabet in secrets.ALPHABETS:
+        for n in (20, 24, 32, 40, 100):
+            failed = sum(secrets.p_random("".join(rng.choices(alphabet, k=n)), alphabet) < secrets.BATTERY for _ in range(1000))
+            assert failed <= 20, (alphabet, n, failed)
 
 
 def test_false_discovery_cut():
     histogram = [(1, 0, 90), (1, 200, 10)]  # ten tokens with p = 1e-10
     assert secrets.cuts(histogram)[1] == 200
     assert secrets.cuts([(1, 0, 100)])[1] > secrets.DEEPEST * secrets.STEPS
+    assert secrets.cuts([(1, 26, 1), (1, 0, 99)])[1] > 26  # p = 0.05 is too much for one of a hundred
+
+
+def key(rng, n, alphabet):
+    return "".join(rng.choices(alphabet, k=n))
+
+
+BASE62 = string.ascii_letters + string.digits
+ORDINARY = [
+    "chapter1_section2_figure3", "getHttpResponseHeaderValue", "internationalization", "Verantwortlichkeiten", "state-of-the-art-way", "/usr/local/share/documents", "MyLongIdentifierNames",
+    "https/www/example/com/index", "test_case_number_0001", "aaaaaaaaaaaaaaaaaaaaaaaa", "--------------------", "01234567890123456789", "abcdefghijklmnopqrstuvwxyz", "2024-01-01-2025-12-31",
+    "THE_QUICK_BROWN_FOX_JUMPS", "ababababababababababab", "foo/bar/baz/foo/bar/baz", "version-1-2-3-of-the-file", "section_number_twelve", "the-thing-and-the-other",
+]
+
+
+@pytest.fixture(scope="module")
+def planted(spark, docs):
+    """Texts with random keys of several alphabets and lengths, and with ordinary long tokens."""
+    rng = random.Random(8)
+    alphabets = [BASE62, BASE62 + "+/", BASE62 + "-_", string.ascii_uppercase + "234567", "0123456789abcdef", string.ascii_lowercase + string.digits]
+    rows, keys = [(r["doc_id"], r["text"]) for r in docs.collect()], {}
+    for i in range(120):
+        token = key(rng, rng.choice([20, 22]) if i % 6 == 4 else rng.choice([20, 24, 32, 40, 64, 200]), alphabets[i % 6])
+        text = f"the thing {ORDINARY[i % len(ORDINARY)]} and a number {token} of the other {ORDINARY[(i * 7 + 3) % len(ORDINARY)]} thing"
+        keys[100_000 + i] = (text.index(token), text.index(token) + len(token))
+        rows.append((100_000 + i, text))
+    return spark.createDataFrame(rows, "doc_id long, text string"), keys
+
+
+def test_planted_keys_are_found_and_ordinary_tokens_are_not(planted):
+    frame, keys = planted
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"] if x["kind"] == 3] for r in secrets.find_secrets(frame).collect()}
+    reported = [(d, s) for d, own in found.items() for s in own]
+    right = sum(keys.get(d) == s for d, s in reported)
+    assert right >= 0.95 * len(keys) and right >= 0.95 * len(reported)
+
+
+def test_random_spans_against_brute_force(planted):
+    """Counts, chain, p-values and thresholds once more, by plain loops over characters."""
+    frame, _ = planted
+    texts = {r["doc_id"]: r["text"] or "" for r in frame.collect()}
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    marks, letters, kinds = set(secrets.SYMBOLS), Counter(), Counter()
+    for t in texts.values():
+        for a, b in itertools.pairwise(t):
+            if a in marks and b in marks:
+                kinds[kind(a), kind(b)] += 1
+                if a.isalpha() and b.isalpha():
+                    letters[a.lower(), b.lower()] += 1
+    abc = string.ascii_lowercase
+    row = {a: sum(letters[a, b] + 1 / 26 for b in abc) for a in abc}
+    first = {b: sum(letters[a, b] + 1 / 26 for a in abc) for b in abc}
+    after = {a: sum(kinds[a, b] + 1 for b in range(4)) for a in range(4)}
+
+    def ordinary(body):
+        both = [plain(body), plain(body.lower())] if body.upper() == body != body.lower() else [plain(body)]
+        return math.log(0.5) + max(both) + math.log(sum(math.exp(x - max(both)) for x in both))
+
+    def plain(body):
+        total = math.log(1 / 4)
+        for i, c in enumerate(body):
+            if i:
+                total += math.log(0.8 * (kinds[kind(body[i - 1]), kind(c)] + 1) / after[kind(body[i - 1])] + 0.05)
+            if c.isalpha():
+                before = body[i - 1].lower() if i and body[i - 1].isalpha() else None
+                share = (letters[before, c.lower()] + 1 / 26) / row[before] if before else first[c.lower()] / sum(first.values())
+                total += math.log(0.9 * share + 0.1 / 26)
+            else:
+                total += math.log(0.1 if c.isdigit() else 0.25)
+        return total
+
+    tests = []
+    for d, t in texts.items():
+        spans = base(t)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            body = m[0].rstrip("=")
+            alphabet = next((a for _, a in secrets.ALPHABETS if body and set(body) <= set(a)), None)
+            if alphabet and not any(s < m.end() and m.start() < e for s, _, e in spans):
+                ratio = 9 * math.exp(max(-690, min(0, ordinary(body) + len(body) * math.log(len(alphabet)))))
+                p = 1.0 if secrets.p_random(m[0], alphabet) < 0.005 else min(1, ratio)
+                tests.append((sum(len(m[0]) >= x for x in (20, 28, 40, 64, 128, 512)), min(600, math.floor(-math.log10(p) * 20 + 1e-9)), (d, m.start(), m.end())))
+    wanted = set()
+    for c in {x for x, _, _ in tests}:
+        own = [(b, at) for x, b, at in tests if x == c]
+        good = [b for b, _ in own if 10 ** (-b / 20) <= 0.05 * sum(y >= b for y, _ in own) / len(own)]
+        wanted |= {at for b, at in own if good and b >= min(good)}
+    found = {(r["doc_id"], x["start"], x["end"]) for r in secrets.find_secrets(frame).collect() for x in r["spans"] if x["kind"] == 3}
+    assert found == wanted and len(found) > 100
+
+
+def test_many_spans_take_linear_time():
+    text = " ".join(f"token=abcdef{i} {hashlib.md5(str(i).encode()).hexdigest()[:23]}" for i in range(60_000))
+    began = time.monotonic()
+    spans, tokens = secrets.scan(text)
+    assert len(spans) == len(tokens) == 60_000 and time.monotonic() - began < 10
 
 
 def test_redaction(spark):
@@ -98,6 +204,20 @@ def test_redaction(spark):
     assert (out[2]["text"], out[3]["text"], out[4]["text"]) == ("clean text", None, "")
 
 
+def test_redaction_masks_all_spans(planted):
+    frame, keys = planted
+    frame = frame.withColumn("a.b", F.lit(1)).withColumn("base", F.lit("own"))
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(frame).collect()}
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    for r in secrets.redact(frame).collect():
+        text, at = "", 0
+        for x in found[r["doc_id"]]:
+            if x["end"] > at:
+                text += texts[r["doc_id"]][at : x["start"]] + "[secret]" if x["start"] >= at else ""
+                at = x["end"]
+        assert r["base"] == "own" and (r["text"] or "") == text + (texts[r["doc_id"]] or "")[at:]
+
+
 # ---- media
 
 
