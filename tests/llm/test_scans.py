@@ -44,13 +44,63 @@ def test_licence_places(docs, odd_docs, no_docs):
             assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
-def test_licence_templates():
+def brute_labels(text):
+    """Labels and score by trying every place for every template and every word of it."""
+    words = WORD.findall((text or "").translate(LOWER))
+    split = lambda x: WORD.findall(x.translate(LOWER))
+    every = [split(body) for _, body, _ in licenses.TEMPLATES] + [split(p) for p, _ in licenses.BASE]
+    weight = lambda w: math.log(1 + len(every) / sum(w in body for body in every))
+    labels, best = set(), 0.0
+    for (label, _, key), body in zip(licenses.TEMPLATES, every, strict=False):
+        key = split(key)
+        at = next(i for i in range(len(body)) if body[i : i + len(key)] == key)
+        for s in range(len(words) - len(key) + 1):
+            if words[s : s + len(key)] == key:
+                hit = [w in words[max(0, s - at + p - licenses.DRIFT) : max(0, s - at + p + licenses.DRIFT + 1)] for p, w in enumerate(body)]
+                share = sum(weight(w) for w, h in zip(body, hit, strict=True) if h) / sum(map(weight, body))
+                if share >= licenses.LEAST:
+                    labels.add(label)
+                    best = max(best, min(1.0, share))
+    for phrase, label in licenses.BASE:
+        if any(words[s : s + len(split(phrase))] == split(phrase) for s in range(len(words))):
+            labels.add(label)
+            best = 1.0
+    return sorted(labels), best
+
+
+def licence_texts():
+    """Templates whole, cut, with words put in, changed or left out, and beside each other."""
+    rng = random.Random(2)
+    out = ["SPDX-License-Identifier: GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007", "the mit license the mit license", "cc by nc cc by nc"]
+    for label, body, _ in licenses.TEMPLATES:
+        words = body.split()
+        out += [f"Copyright 2020 Foo. {body} The end", " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 3 :])]
+        for chance in (0.03, 0.15, 0.4):
+            changed = [x for w in words for x in ([w] if rng.random() > chance else rng.choice([[], ["really"], [w, "very", "much"]]))]
+            out.append(f"{label} " + " ".join(changed))
+    return out + [f"{rng.choice(out)} {rng.choice(out)}" for _ in range(40)]
+
+
+def test_licence_labels_against_brute_force(docs):
+    index = licenses.Index()
+    for text in [*licence_texts(), *(r["text"] for r in docs.collect())]:
+        _, labels, score = index.find(licenses.words_of(text))
+        wanted = brute_labels(text)
+        assert (labels, pytest.approx(score)) == wanted, text
+
+
+def test_licences_by_hand():
     index = licenses.Index()
+    labels = lambda text: index.find(licenses.words_of(text))[1]
     for label, body, _ in licenses.TEMPLATES:
-        found = index.find(licenses.words_of("Foo bar. " + body.title() + "! baz"))
-        assert label in found[1] and found[2] > 0.99
-    assert index.find(licenses.words_of("the general public met under a license"))[1] == []
-    assert index.find(licenses.words_of("permission is hereby granted free of charge"))[1] == []  # the phrase alone is too little of it
+        assert label in labels("Foo bar. " + body.title() + "! baz")
+    assert labels(licenses._MIT.replace("this software", "this really very software", 1).replace("to deal", "so as to deal")) == []  # the key phrase itself is broken
+    assert labels(licenses._MIT.replace("to deal", "so as to really deal").replace("THE AUTHORS", "THE KIND AUTHORS OF THIS")) == ["mit"]
+    assert labels("# SPDX-License-Identifier: MIT") == ["mit"] and labels("SPDX-License-Identifier: GPL-3.0-or-later") == ["gpl-3"]
+    assert labels(licenses._GPL.format(kind="", n=3)) == ["gpl-3"] and labels("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007") == ["gpl-3"]
+    assert labels(f"{licenses._BSD_2} {licenses._BSD_END}") == ["bsd-2"]
+    assert labels("the general public met under a license") == []
+    assert labels("free of charge, to any person obtaining a copy of this software and associated documentation files") == []  # the phrase alone is too little of it
     assert [w for w, _ in index.find(licenses.words_of("cc by nc cc by nc"))[0]] == [0, 3]
 
 
