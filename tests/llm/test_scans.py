@@ -1,4 +1,5 @@
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -6,6 +7,7 @@ import re
 import string
 import struct
 import time
+import zipfile
 import zlib
 from collections import Counter
 
@@ -288,6 +290,67 @@ def test_sniff_and_carve(data, kind):
     assert media.sniff(data[:-1]) == []
 
 
+def mp4(*names) -> bytes:
+    return struct.pack(">I4s4sI", 20, b"ftyp", b"isom", 1) + b"mp41" + b"".join(struct.pack(">I4s", 12, n) + b"abcd" for n in names)
+
+
+def stored_zip(name: bytes, data: bytes) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(name.decode(), data)
+    return out.getvalue()
+
+
+def crc(data: bytes, poly: int, bits: int) -> int:
+    x = 0
+    for byte in data:
+        x ^= byte << bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x >> bits - 1 & 1 else 0)) & (1 << bits) - 1
+    return x
+
+
+def flac(samples: int, frames: list[tuple[int, bytes]]) -> bytes:
+    """Frames (samples - 1 as 16 bits) of any bytes, as the format's definition frames them."""
+    info = bytes(10) + ((44100 << 44) | (7 << 36) | samples).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x84\x00\x00\x03abc"
+    for i, (n, body) in enumerate(frames):
+        head = bytes([0xFF, 0xF8, 0x70, 0, i]) + (n - 1).to_bytes(2, "big")
+        frame = head + bytes([crc(head, 0x07, 8)]) + body
+        out += frame + crc(frame, 0x8005, 16).to_bytes(2, "big")
+    return out
+
+
+def test_lengths_are_confirmed():
+    """FLAC by its frames, MP4 by its boxes, ZIP by its central directory; what follows them is seen."""
+    music = flac(250, [(100, b"first frame" * 9), (100, b"second" * 20), (50, b"third")])
+    movie = mp4(b"moov", b"mdat")
+    outer = stored_zip(b"in.zip", stored_zip(b"a", b"text " * 20))
+    for data, kind in ((music, "flac"), (movie, "mp4"), (outer, "zip")):
+        assert media.sniff(data)[0] == (kind, 0, len(data)) and len(media.sniff(data)) == 1 + (kind == "zip")  # files in the whole one are listed too
+        assert media.sniff(b"x" * 7 + data + b"--" + GIF) == [(kind, 7, 7 + len(data)), ("gif", 9 + len(data), 9 + len(data) + len(GIF))]
+        assert all(k != kind or s for k, s, _ in media.sniff(data[:-1])) or kind == "mp4"
+    assert media.sniff(music[:60] + b"?" + music[61:]) == [] and media.sniff(flac(0, [(100, b"no total")])) == []
+    assert media.sniff(struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 1)) == [] and media.sniff(b"a draft,ftyp of text") == []
+
+
+@pytest.mark.parametrize("mark", [b"PK\x03\x04", b"%PDF-1.4 ", b"RIFF", b".snd", b"P5\n1 1\n", b"GIF89a", b"fLaC", b"xxxxftyp", b"%PDF-1.4 startxref ", b"PK\x03\x04PK\x05\x06"])
+def test_many_false_hits_take_linear_time(mark):
+    data = mark * (10_000_000 // len(mark))
+    began = time.monotonic()
+    assert [f for f in media.sniff(data) if f[0] != "pgm"] == [] and time.monotonic() - began < 40
+
+
+def test_embedded_files_are_carved_whatever_the_storage(spark):
+    """A PDF within texts that are stored as WAV, AU and PGM; offsets are of the stored bytes."""
+    rows = [(i, f"text {i} %PDF-1.7 x startxref 9 %%EOF after") for i in range(30)]
+    for r in media.inspect(media.to_media(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        (x,) = r["embedded"]
+        assert x["type"] == "pdf" and x["end"] - x["start"] == len("%PDF-1.7 x startxref 9 %%EOF") and f"pdf@{x['start']}-{x['end']}" in r["feature"]
+        at = {"wav": 44, "au": 24}.get(r["type"], len(f"P5\n64 {r['payload_bytes'] // 64}\n255\n"))
+        assert x["start"] - at == len(f"text {r['doc_id']} ")
+
+
 def test_media_round_trip(docs, odd_docs, no_docs):
     for frame in (docs, odd_docs, no_docs):
         wanted = []
