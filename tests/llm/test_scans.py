@@ -189,10 +189,8 @@ def test_planted_keys_are_found_and_ordinary_tokens_are_not(planted):
     assert right >= 0.95 * len(keys) and right >= 0.95 * len(reported)
 
 
-def test_random_spans_against_brute_force(planted):
-    """Counts, chain, p-values and thresholds once more, by plain loops over characters."""
-    frame, _ = planted
-    texts = {r["doc_id"]: r["text"] or "" for r in frame.collect()}
+def brute_random(texts):
+    """(document, start, end) of random spans: counts, chain, p-values and thresholds once more, by plain loops over characters."""
     kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
     marks, letters, kinds = set(secrets.SYMBOLS), Counter(), Counter()
     for t in texts.values():
@@ -238,6 +236,12 @@ def test_random_spans_against_brute_force(planted):
         own = [(b, at) for x, b, at in tests if x == c]
         good = [b for b, _ in own if 10 ** (-b / 20) <= 0.05 * sum(y >= b for y, _ in own) / len(own)]
         wanted |= {at for b, at in own if good and b >= min(good)}
+    return wanted
+
+
+def test_random_spans_against_brute_force(planted):
+    frame, _ = planted
+    wanted = brute_random({r["doc_id"]: r["text"] or "" for r in frame.collect()})
     found = {(r["doc_id"], x["start"], x["end"]) for r in secrets.find_secrets(frame).collect() for x in r["spans"] if x["kind"] == 3}
     assert found == wanted and len(found) > 100
 

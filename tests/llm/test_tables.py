@@ -6,14 +6,18 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from inkfold.llm import ann, langid, queries, secrets, urlrules, warc
+from inkfold.llm.common import written
 from tests.llm.conftest import SF
 
 
@@ -299,22 +303,100 @@ def test_matcher_is_subset_test():
 # ---- pipeline
 
 
-def test_pipeline_against_its_parts(spark, docs):
-    """Each stage's decisions, one after the other, by plainer means."""
-    from tests.llm.test_bpe_packing import check_packed
+def test_pipeline_against_brute_force(spark, docs, tmp_path):
+    """All four stages on the test table with planted rows: full Viterbi, all pairs, plain loops over characters, the tokenizer's own library."""
     from tests.llm.test_dedup import brute
-
-    rows = corpus_pipeline.run(spark, SF).collect()
-    held = ~langid.is_held_out("doc_id")
-    labeller = langid.Labeller(langid.fit(docs.where(held)))
-    kept = [r for r in docs.collect() if labeller(r["text"])[0] != "und" and labeller(r["text"])[1] >= 0.3]
-    ids = {i for i, _, c in brute([(r["doc_id"], r["text"]) for r in kept], 5) if i == c}
-    left = spark.createDataFrame([r for r in kept if r["doc_id"] in ids], docs.schema)
-    clean = secrets.redact(left)
-    assert {r["doc_id"] for r in rows} == ids
-    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {r["doc_id"]: r["doc_tokens"] for r in corpus_pipeline.pack(spark, clean, SF).collect()}
-    assert check_packed(clean) < 0.05
-    assert not any(secrets.scan(r["text"])[0] for r in clean.collect())
+    from tests.llm.test_scans import base, brute_random
+
+    rng = random.Random(4)
+    rows = [tuple(r) for r in docs.collect()]
+    by = {r[2]: r[1][:600] for r in rows if r[2] and len(r[1] or "") > 900}
+    token = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    own = " ".join(rng.choice(by["en"].split()) for _ in range(60))
+    rows += [(90_001, "\n".join(by.values()), None, "s", 1), (90_002, f"{own} {token}", "en", "s", 2), (90_003, f"{own} {token} end", "en", "s", 3), (90_004, "123 !", "en", "s", 4), (90_005, None, None, None, None)]
+    spark.createDataFrame(rows, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = langid.fit(frame.where(~langid.is_held_out("doc_id")))
+
+    def clear(text):
+        words = [m[0] for m in langid.WORD.finditer(text or "")]
+        if not any(c.isalpha() for c in text or ""):
+            return False
+        path = langid.viterbi(np.concatenate([model.word_scores([w]) for w in words]), model.penalty)
+        letters = Counter()
+        for w, k in zip(words, path.tolist(), strict=True):
+            letters[k] += len(w)
+        return max(letters.values()) > 0.5 * sum(letters.values())
+
+    kept = {r[0]: r[1] for r in rows if clear(r[1])}
+    single = {i for i, _, c in brute(list(kept.items()), 5) if i == c}
+    texts = {i: kept[i] for i in single}
+    spans = {i: [(s, e) for s, _, e in base(t)] for i, t in texts.items()}
+    for i, s, e in brute_random(texts):
+        spans[i].append((s, e))
+    assert 90_001 not in kept and 90_002 in single and 90_003 not in single and any(texts[90_002][s:e] == token for s, e in spans[90_002])
+    library, pieces = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for r in found:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    assert set(pieces) == single
+    for i, text in texts.items():
+        covered, masked = {x for s, e in spans[i] for x in range(s, e)}, []
+        for x, c in enumerate(text):
+            if x not in covered:
+                masked.append(c)
+            elif x - 1 not in covered or any(s == x and not any(s < x < e for s, e in spans[i]) for s, _ in spans[i]):
+                masked.append("[secret]")
+        ids = [*library.encode("".join(masked), add_special_tokens=False).ids, 1]
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : at], "<u4").tobytes())
+        assert at == len(ids)
+    filled = {}
+    for r in found:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in filled.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+CLASHES = {"score": 7.0, "spans": "own", "lang_pred": "own", "node": 1, "rep": 2, "_sieve_p": 3, "_group_stay": "own", "_found": "own", "a.b": 4}
+
+
+def test_all_stages_and_operators_with_clashing_columns(spark, docs):
+    """Columns named like the operators' own come through every stage unchanged, and change no operator's result."""
+    from inkfold.llm import bpe, dedup, licenses, media, packing
+
+    frame = docs.limit(80).withColumns({n: F.lit(v) for n, v in CLASHES.items()})
+    kinds = dict(frame.dtypes)
+    out = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, SF)
+        assert out.columns == frame.columns and dict(out.dtypes) == kinds
+        out = written(out, "clashing")
+    rows = out.collect()
+    assert rows and all({n: r[n] for n in CLASHES} == CLASHES for r in rows)
+    plain, model = frame.select(docs.columns), langid.fit(docs)
+    json, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    for run in (
+        lambda f: licenses.digest(licenses.scan(f)), lambda f: bpe.round_trip(f, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern), lambda f: media.inspect(media.to_media(f)),
+        lambda f: langid.identify(f, model, keep=["doc_id"]), lambda f: dedup.near_duplicates(f, ngram=4), lambda f: secrets.digest(secrets.find_secrets(f)),
+        lambda f: packing.pack(f, json, pattern).groupBy("doc_id").agg(F.sum("length").alias("n")),
+    ):
+        assert sorted(map(str, run(frame).collect())) == sorted(map(str, run(plain).collect()))
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    clashing = pages.withColumns({n: F.lit(v) for n, v in (CLASHES | dict.fromkeys(["rule", "verdict", "tokens", "payload", "salt", "first"], "own")).items()})
+    assert sorted(map(str, urlrules.judge(clashing).collect())) == sorted(map(str, urlrules.judge(pages).collect()))
+    assert sorted(map(str, warc.records(clashing).drop("payload").collect())) == sorted(map(str, warc.records(pages).drop("payload").collect()))
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    near = lambda f: sorted(map(str, ann.nearest(f, F.col("vec_id") % 20 == 0).collect()))
+    assert near(vectors.withColumns({n: F.lit(v) for n, v in (CLASHES | {"rank": 1}).items()})) == near(vectors)
 
 
 def test_stages_keep_columns(spark, odd_docs, no_docs):
