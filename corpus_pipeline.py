@@ -2,14 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept:
 
-* language: documents whose language can't be determined go;
+* language: documents without a letter, and those in which no language holds the majority of the letters, go;
 * near_dedup: one document of each group of near copies stays (five-word shingles, 0.8);
 * secrets: spans that hold secrets are masked, the documents stay;
 * packing: one row per piece of the packed sequences.
 
 ``run`` writes each stage's result to the shared folder and reads it again. Four stages
 hold models, MinHash links and tokenizers, which SQL can't express, so ORACLE_SQL is None;
-tests hold the whole against a brute-force version.
+a test holds the whole against a brute-force version (full Viterbi, all pairs, plain loops, the tokenizer's library).
 """
 
 from __future__ import annotations
