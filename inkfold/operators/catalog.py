@@ -36,21 +36,14 @@ def unused(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def unique_ids(names: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``uid``: the name's stem, then stem-2, stem-3 ... whichever is first free, in order.
+    """(name, uid): the name's stem, then stem-2, stem-3 ... whichever is first free, in order.
 
-    A stem may equal another's suffixed id, so this is one ordered fold over the catalog's
-    names: a list that a person maintains. The fold keeps the ids given so far.
+    Stems hold no hyphen (``id_stem`` leaves letters, digits and underscores), so a numbered id never
+    equals another name's stem, and the number is the rank among equal stems.
     """
-    item = F.struct(*order, F.coalesce(F.nullif(id_stem(stem(F.col("name"))), F.lit("")), F.lit("example")).alias("stem"), F.col("name").alias("name"))
-    got = F.array().cast("array<string>")
-
-    def step(acc, x):
-        tries = F.transform(F.sequence(F.lit(1), F.size(acc) + 1), lambda k: F.when(k == 1, x["stem"]).otherwise(F.concat(x["stem"], F.lit("-"), k.cast("string"))))
-        return F.concat(acc, F.array(F.element_at(F.filter(tries, lambda t: ~F.array_contains(acc, t)), 1)))
-
-    one = names.agg(F.array_sort(F.collect_list(item)).alias("items"))
-    one = one.select(F.arrays_zip("items", F.aggregate("items", got, step).alias("uid")).alias("z"))
-    return one.select(F.explode("z").alias("z")).select("z.items.name", F.col("z.uid").alias("uid"))
+    named = names.withColumn("_stem", F.coalesce(F.nullif(id_stem(stem(F.col("name"))), F.lit("")), F.lit("example")))
+    k = F.row_number().over(Window.partitionBy("_stem").orderBy(*order))
+    return named.withColumn("_k", k).select("name", F.when(F.col("_k") == 1, F.col("_stem")).otherwise(F.concat("_stem", F.lit("-"), F.col("_k").cast("string"))).alias("uid"))
 
 
 def catalog(left: DataFrame, right: DataFrame) -> DataFrame:

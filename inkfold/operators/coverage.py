@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.operators.grid import near_points
+
 #: Fixed values.
 MOST_FILL, MOST_GLYPH = 2048, 256
 CHORDS = 6
@@ -28,28 +30,44 @@ def line_distance(px, py, x0, y0, x1, y1) -> Column:
     return F.hypot(px - (x0 + t * dx), py - (y0 + t * dy))
 
 
+def _with(make, **values) -> Column:
+    """``make`` of a struct of values, each worked out once: the expression grows with its parts, not with their uses."""
+    return F.get(F.transform(F.array(F.struct(*(x.alias(n) for n, x in values.items()))), make), F.lit(0))
+
+
 def quadratic_distance(px, py, x0, y0, cx, cy, x1, y1) -> Column:
     """From a point to a quadratic curve: the nearest of the real roots of the derivative."""
-    ax, ay = cx - x0, cy - y0
-    bx, by = x0 - 2 * cx + x1, y0 - 2 * cy + y1
-    qx, qy = x0 - px, y0 - py
-    bb = bx * bx + by * by
-    kx, ky, kz = (ax * bx + ay * by) / bb, (2 * (ax * ax + ay * ay) + qx * bx + qy * by) / (3 * bb), (qx * ax + qy * ay) / bb
-    p, q = ky - kx * kx, kx * (2 * kx * kx - 3 * ky) + kz
-    h = q * q + 4 * p * p * p
+    root = lambda v: F.signum(v) * F.pow(F.abs(v), F.lit(1 / 3))
 
-    def away(t: Column) -> Column:
-        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
-        return F.hypot(qx + (2 * ax + bx * t) * t, qy + (2 * ay + by * t) * t)
+    def nearest(u: Column) -> Column:
+        def away(t: Column) -> Column:
+            return _with(lambda w: F.hypot(u["qx"] + (2 * u["ax"] + u["bx"] * w["t"]) * w["t"], u["qy"] + (2 * u["ay"] + u["by"] * w["t"]) * w["t"]), t=F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)))
+
+        def one(k: Column) -> Column:
+            s = F.sqrt(F.greatest(k["h"], F.lit(0.0)))
+            return away(root((s - k["q"]) / 2) + root((-s - k["q"]) / 2) - k["kx"])
+
+        def three(k: Column) -> Column:
+            z = F.sqrt(F.greatest(-k["p"], F.lit(0.0)))
+            v = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), k["q"] / (k["p"] * z * 2)))) / 3
+            ways = lambda w: F.least(away((w["m"] + w["m"]) * w["z"] - k["kx"]), away((-w["n"] - w["m"]) * w["z"] - k["kx"]), away((w["n"] - w["m"]) * w["z"] - k["kx"]))
+            return _with(ways, m=F.cos(v), n=F.sin(v) * math.sqrt(3), z=z)
+
+        def depressed(k: Column) -> Column:
+            return _with(
+                lambda w: _with(lambda x: F.when(x["h"] >= 0, one(x)).otherwise(three(x)), kx=w["kx"], p=w["p"], q=w["q"], h=w["q"] * w["q"] + 4 * w["p"] * w["p"] * w["p"]),
+                kx=k["kx"], p=k["ky"] - k["kx"] * k["kx"], q=k["kx"] * (2 * k["kx"] * k["kx"] - 3 * k["ky"]) + k["kz"],
+            )
+
+        bb = u["bb"]
+        roots = _with(
+            depressed, kx=(u["ax"] * u["bx"] + u["ay"] * u["by"]) / bb, ky=(2 * (u["ax"] * u["ax"] + u["ay"] * u["ay"]) + u["qx"] * u["bx"] + u["qy"] * u["by"]) / (3 * bb),
+            kz=(u["qx"] * u["ax"] + u["qy"] * u["ay"]) / bb,
+        )
+        return F.when(bb <= 1e-12, line_distance(px, py, x0, y0, x1, y1)).otherwise(roots)
 
-    root = lambda v: F.signum(v) * F.pow(F.abs(v), F.lit(1 / 3))
-    s = F.sqrt(F.greatest(h, F.lit(0.0)))
-    one = away(root((s - q) / 2) + root((-s - q) / 2) - kx)
-    z = F.sqrt(F.greatest(-p, F.lit(0.0)))
-    v = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), q / (p * z * 2)))) / 3
-    m, n = F.cos(v), F.sin(v) * math.sqrt(3)
-    three = F.least(away((m + m) * z - kx), away((-n - m) * z - kx), away((n - m) * z - kx))
-    return F.when(bb <= 1e-12, line_distance(px, py, x0, y0, x1, y1)).when(h >= 0, one).otherwise(three)
+    bx, by = x0 - 2 * cx + x1, y0 - 2 * cy + y1
+    return _with(nearest, ax=cx - x0, ay=cy - y0, bx=bx, by=by, qx=x0 - px, qy=y0 - py, bb=bx * bx + by * by)
 
 
 def stroke_coverage(distance: Column, half_width: Column, hairline: Column, zoom: Column) -> Column:
@@ -122,16 +140,15 @@ def point_winding(points: DataFrame, segments: DataFrame, cell: float = 8.0, by:
     """(*by, point_id, fill_id, winding, crossings) of points in the boxes of fills; ``by`` are the segments' columns that make ``fill_id`` unique.
 
     Points (point_id, px, py) and fills' boxes meet in grid cells, an equi-join; then each
-    pair meets the fill's segments, and sums over them decide.
+    pair meets the fill's segments, and sums over them decide. Points that have columns of ``by`` meet
+    fills of the same values only (their page); others meet those of every page.
     """
     c = F.col
     fill = [*by, "fill_id"]
     box = segments.groupBy(*fill).agg(
         F.min(F.least("x0", "cx", "x1")).alias("bx0"), F.min(F.least("y0", "cy", "y1")).alias("by0"), F.max(F.greatest("x0", "cx", "x1")).alias("bx1"), F.max(F.greatest("y0", "cy", "y1")).alias("by1")
     )
-    at = lambda x: F.floor(c(x) / cell)
-    boxes = box.withColumn("gx", F.explode(F.sequence(at("bx0"), at("bx1")))).withColumn("gy", F.explode(F.sequence(at("by0"), at("by1"))))
-    pairs = points.withColumn("gx", at("px")).withColumn("gy", at("py")).join(boxes, ["gx", "gy"]).where("px >= bx0 and px <= bx1 and py >= by0 and py <= by1").select("point_id", "px", "py", *fill)
+    pairs = near_points(points, box, cell, by).select("point_id", "px", "py", *fill)
     own = segments.where(c("pos") < MOST_FILL)
     p, q = (c("px"), c("py")), tuple(map(c, SHAPE))
     line = (c("x0"), c("y0"), c("x1"), c("y1"))
@@ -166,13 +183,10 @@ def stroke_points(points: DataFrame, strokes: DataFrame, zoom: float = 1.0, cell
     s = s.withColumns({
         "bx0": F.least("x0", "cx", "x1") - c("_r"), "by0": F.least("y0", "cy", "y1") - c("_r"), "bx1": F.greatest("x0", "cx", "x1") + c("_r"), "by1": F.greatest("y0", "cy", "y1") + c("_r"),
     })
-    at = lambda x: F.floor(c(x) / cell)
-    s = s.withColumn("gx", F.explode(F.sequence(at("bx0"), at("bx1")))).withColumn("gy", F.explode(F.sequence(at("by0"), at("by1"))))
-    placed = points.withColumn("gx", at("px")).withColumn("gy", at("py"))
     kinds = ((s.where("prim_type = 0"), line_distance(c("px"), c("py"), c("x0"), c("y0"), c("x1"), c("y1"))), (s.where("prim_type <> 0"), quadratic_distance(c("px"), c("py"), *map(c, SHAPE))))
-    near = [placed.join(part, ["gx", "gy"]).where("px >= bx0 and px <= bx1 and py >= by0 and py <= by1").withColumn("distance", d) for part, d in kinds]
-    met = near[0].union(near[1]).select(*by, "point_id", "seg_id", "half_width", "flags", "distance").withColumn("coverage", stroke_coverage(c("distance"), c("half_width"), c("flags").bitwiseAND(1) != 0, z))
-    return met.where("coverage > 0").select(*by, "point_id", "seg_id", "distance", "coverage")
+    near = [near_points(points, part, cell, by).withColumn("distance", d) for part, d in kinds]
+    met = near[0].union(near[1]).select(*by, "point_id", "seg_id", "half_width", "flags", "_r", "distance").where("distance < _r")  # beyond its reach a stroke covers nothing
+    return met.select(*by, "point_id", "seg_id", "distance", stroke_coverage(c("distance"), c("half_width"), c("flags").bitwiseAND(1) != 0, z).alias("coverage"))
 
 
 def blend(paint: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -7,10 +7,15 @@ to float32 first, as stored cells are.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions.scalar import FLAG_HAIRLINE, FLAG_ROUND_CAP, INVISIBLE_ALPHA, OPAQUE_ALPHA, f32, quantize
+from inkfold.plans.session import ship
 
 #: Fixed values.
 POSITION, STYLE, KIND = 1000, 10000, 10
@@ -62,8 +67,9 @@ def duplicate_key() -> list[Column]:
 def _reasoned(strokes: DataFrame) -> DataFrame:
     """With ``reason`` transparent, degenerate, duplicate or null.
 
-    Only rows that pass the first two stages reach the window; its partitions are one key
-    each, and the first row of a key is kept by an aggregate that combines on the map side.
+    The first row of a key is found by an aggregate that combines on the map side, so a stroke that
+    is drawn a million times is no hot key; rows then meet the first ones by their id,
+    (doc_id, page_no, seg_id), which spreads evenly.
     """
     s = strokes.withColumn("reason", F.when(transparent(), "transparent").when(degenerate(), "degenerate"))
     s = s.select("*", *duplicate_key())
@@ -95,28 +101,55 @@ def cover_key(strokes: DataFrame) -> DataFrame:
 BUCKET = ["doc_id", "page_no", *[f"b{i}" for i in range(7)]]
 
 
+def _covered(batches):
+    """Of lines sorted by bucket, island and rank, the ids of those inside an earlier kept, opaque one.
+
+    Widths fall within an island, so every earlier line is wide enough. The covers kept are a staircase
+    of starts and ends that both rise, so a bisection finds whether one spans the line.
+    """
+    last, starts, ends = None, [], []
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy() for i in range(len(BUCKET) + 1)])
+        fresh = np.ones(batch.num_rows, bool)
+        fresh[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+        if batch.num_rows and last is not None:
+            fresh[0] = (keys[:, 0] != last).any()
+        last = keys[:, -1] if batch.num_rows else last
+        low, high, alpha = (batch.column(n).to_pylist() for n in ("start", "end", "alpha"))
+        out = np.zeros(batch.num_rows, bool)
+        for i, new in enumerate(fresh.tolist()):
+            if new:
+                starts, ends = [], []
+            s, e = low[i], high[i]
+            k = bisect_right(starts, s + INTERVAL_EPS)  # the cover that ends last of those that start early enough is the one before
+            if k and ends[k - 1] >= e - INTERVAL_EPS:
+                out[i] = True
+            elif alpha[i] >= OPAQUE_ALPHA:
+                k = bisect_left(starts, s)
+                if not k or ends[k - 1] < e:
+                    j = bisect_right(ends, e, k)
+                    starts[k:j], ends[k:j] = [s], [e]
+        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(out)) for n in ("doc_id", "page_no", "seg_id")], ["doc_id", "page_no", "seg_id"])
+
+
 def contained(strokes: DataFrame) -> DataFrame:
     """(doc_id, page_no, seg_id) of lines inside an earlier kept, opaque, wider line of their bucket.
 
-    A bucket is folded in the order widest, longest, first start, id: a total order. Covers
-    that another cover contains can't matter and are not kept, so the fold's state stays
-    small; buckets are as fine as a direction, an offset and a colour of one page.
+    A bucket is taken in the order widest, longest, first start, id: a total order. Lines on one carrier
+    fall into islands that don't touch; each is independent of the others, and a task takes whole
+    islands, not whole buckets. They stream through one pass, sorted, in O(n log n); only an
+    island's covers are held.
     """
+    ship(strokes.sparkSession)
     c = F.col
-    lines = cover_key(strokes)
-    item = F.struct((-c("half_width")).alias("nw"), (-c("len")).alias("nl"), c("start").alias("s"), c("seg_id").alias("id"), c("end").alias("e"), c("alpha").alias("a"))
-    buckets = lines.groupBy(*BUCKET).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    buckets = buckets.where(F.size("items") > 1)
-    empty = F.struct(F.array().cast("array<struct<w: double, s: double, e: double>>").alias("covers"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc, x):
-        inside = F.exists(acc["covers"], lambda k: (k["w"] + WIDTH_EPS >= -x["nw"]) & (x["s"] >= k["s"] - INTERVAL_EPS) & (x["e"] <= k["e"] + INTERVAL_EPS))
-        own = F.array(F.struct((-x["nw"]).alias("w"), x["s"].alias("s"), x["e"].alias("e")))
-        covers = F.when(~inside & (x["a"] >= OPAQUE_ALPHA), F.concat(acc["covers"], own)).otherwise(acc["covers"])
-        return F.struct(covers.alias("covers"), F.when(inside, F.concat(acc["out"], F.array(x["id"]))).otherwise(acc["out"]).alias("out"))
-
-    dropped = buckets.select("doc_id", "page_no", F.aggregate("items", empty, step, lambda acc: acc["out"]).alias("out"))
-    return dropped.select("doc_id", "page_no", F.explode("out").alias("seg_id"))
+    lines = cover_key(strokes).withColumn("doc_id", c("doc_id").cast("long")).withColumn("page_no", c("page_no").cast("int"))
+    along = Window.partitionBy(*BUCKET).orderBy("start", "seg_id")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("_new", F.when(c("start") <= reach + 2 * INTERVAL_EPS, 0).otherwise(1))
+    lines = lines.withColumn("island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    place = [*BUCKET, "island"]
+    some = lines.select(*place, "seg_id", "half_width", "len", "start", "end", "alpha").repartition(*place)
+    return some.sortWithinPartitions(*place, F.desc("half_width"), F.desc("len"), "start", "seg_id").mapInArrow(_covered, "doc_id long, page_no int, seg_id long")
 
 
 def cull(strokes: DataFrame, *, stages: int = 4) -> DataFrame:

@@ -50,13 +50,13 @@ def _cell(x: Column, origin: str, size: str, n: str) -> Column:
     return F.least(F.greatest(F.floor((x - F.col(origin)) / F.col(size)), F.lit(0)), F.col(n) - 1).cast("int")
 
 
-def _spans(strokes: DataFrame) -> DataFrame:
+def _spans(strokes: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, seg_id, gw, gh, c0, c1, r0, r1): the cells that a stroke's widened box covers.
 
     The page's shape is one row; it meets its strokes by page, by broadcast where small.
     """
     c = F.col
-    s = inflated(strokes).join(shape(strokes).drop("n", "max_half_width"), ["doc_id", "page_no"])
+    s = inflated(strokes).join(pages.drop("n", "max_half_width"), ["doc_id", "page_no"])
     return s.select(
         "doc_id", "page_no", "seg_id", "gw", "gh", _cell(c("bx0"), "gx0", "cell_w", "gw").alias("c0"), _cell(c("bx1"), "gx0", "cell_w", "gw").alias("c1"),
         _cell(c("by0"), "gy0", "cell_h", "gh").alias("r0"), _cell(c("by1"), "gy0", "cell_h", "gh").alias("r1"),
@@ -65,25 +65,40 @@ def _spans(strokes: DataFrame) -> DataFrame:
 
 def entries(strokes: DataFrame) -> DataFrame:
     """(doc_id, page_no, cell, seg_id): the index itself, an entry for every covered cell."""
-    rows = _spans(strokes).select("doc_id", "page_no", "seg_id", "gw", F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1")
+    return _entries(_spans(strokes, shape(strokes)))
+
+
+def _entries(spans: DataFrame) -> DataFrame:
+    rows = spans.select("doc_id", "page_no", "seg_id", "gw", F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1")
     return rows.select("doc_id", "page_no", "seg_id", "gw", "row", F.explode(F.sequence("c0", "c1")).alias("col")).select(
         "doc_id", "page_no", (F.col("row") * F.col("gw") + F.col("col")).alias("cell"), "seg_id"
     )
 
 
-def population(strokes: DataFrame) -> DataFrame:
-    """(doc_id, page_no, cell, n) of cells that hold something.
+def population(strokes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_no, cell, n) of cells that hold something; ``pages`` is ``shape(strokes)``, if known.
 
-    Each stroke changes the count at four corners only; two running sums over the grid turn
-    the corners into counts. Work grows with strokes plus cells, not with their product, and
-    the aggregate of corners combines on the map side.
+    On a page whose strokes cover more cells than its grid has, each stroke changes the count at four
+    corners only, and two running sums over the grid turn the corners into counts. On any other page
+    the covered cells themselves are counted. So work grows with strokes plus the lesser of cells
+    and covered cells, and both aggregates combine on the map side.
     """
-    s = _spans(strokes)
+    c = F.col
+    pages = shape(strokes) if pages is None else pages
+    s = _spans(strokes, pages)
+    load = s.groupBy("doc_id", "page_no").agg(F.sum((c("r1") - c("r0") + 1).cast("long") * (c("c1") - c("c0") + 1)).alias("load"))
+    full = pages.join(load, ["doc_id", "page_no"]).select("doc_id", "page_no", (c("load") > c("gw").cast("long") * c("gh")).alias("full"))
+    s = s.join(full, ["doc_id", "page_no"])
+    few = _entries(s.where(~c("full"))).groupBy("doc_id", "page_no", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return _dense(s.where("full"), pages.join(full.where("full"), ["doc_id", "page_no"], "left_semi")).union(few.select("doc_id", "page_no", "cell", "n"))
+
+
+def _dense(s: DataFrame, pages: DataFrame) -> DataFrame:
     corner = lambda r, c, d: F.struct(r.alias("row"), c.alias("col"), F.lit(d).cast("long").alias("d"))
     r0, r1, c0, c1 = F.col("r0"), F.col("r1") + 1, F.col("c0"), F.col("c1") + 1
     corners = s.select("doc_id", "page_no", F.explode(F.array(corner(r0, c0, 1), corner(r0, c1, -1), corner(r1, c0, -1), corner(r1, c1, 1))).alias("k"))
     corners = corners.groupBy("doc_id", "page_no", "k.row", "k.col").agg(F.sum("k.d").alias("d"))
-    cells = shape(strokes).select("doc_id", "page_no", "gw", "gh").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("gh") - 1)))
+    cells = pages.select("doc_id", "page_no", "gw", "gh").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("gh") - 1)))
     cells = cells.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("gw") - 1)))
     upto = lambda by, order: Window.partitionBy("doc_id", "page_no", by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dense = cells.join(corners, ["doc_id", "page_no", "row", "col"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
@@ -100,9 +115,10 @@ def csr(strokes: DataFrame) -> DataFrame:
     return population(strokes).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def stats(strokes: DataFrame) -> DataFrame:
-    filled = population(strokes).groupBy("doc_id", "page_no").agg(F.sum("n").alias("entries"), F.max("n").alias("max_cell"))
-    return shape(strokes).select("doc_id", "page_no", "gw", "gh").join(filled, ["doc_id", "page_no"])
+def stats(strokes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    pages = shape(strokes) if pages is None else pages
+    filled = population(strokes, pages).groupBy("doc_id", "page_no").agg(F.sum("n").alias("entries"), F.max("n").alias("max_cell"))
+    return pages.select("doc_id", "page_no", "gw", "gh").join(filled, ["doc_id", "page_no"])
 
 
 def view_box(cx: Column, cy: Column, width: Column, height: Column, zoom: Column, max_half_width: Column) -> list[Column]:
@@ -113,7 +129,7 @@ def view_box(cx: Column, cy: Column, width: Column, height: Column, zoom: Column
     return [(cx - hw).alias("vx0"), (cy - hh).alias("vy0"), (cx + hw).alias("vx1"), (cy + hh).alias("vy1")]
 
 
-def visible_in(strokes: DataFrame, views: DataFrame) -> DataFrame:
+def visible_in(strokes: DataFrame, views: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Strokes whose widened box meets the view of their page.
 
     ``views``: (doc_id, page_no, cx, cy, width, height, zoom), one row a page; so an equi-join
@@ -121,7 +137,7 @@ def visible_in(strokes: DataFrame, views: DataFrame) -> DataFrame:
     order of drawing.
     """
     c = F.col
-    g = shape(strokes)
+    g = shape(strokes) if pages is None else pages
     v = views.join(g.select("doc_id", "page_no", "max_half_width", "gx0", "gy0", "cell_w", "cell_h", "gw", "gh"), ["doc_id", "page_no"])
     v = v.select("doc_id", "page_no", "gx0", "gy0", "cell_w", "cell_h", "gw", "gh", *view_box(c("cx"), c("cy"), c("width"), c("height"), c("zoom"), c("max_half_width")))
     s = inflated(strokes).withColumnRenamed("cx", "_cx").withColumnRenamed("cy", "_cy").join(v, ["doc_id", "page_no"])
@@ -131,26 +147,62 @@ def visible_in(strokes: DataFrame, views: DataFrame) -> DataFrame:
     return met.select("doc_id", "page_no", "seg_id", (row * c("gw") + col).alias("first_cell"))
 
 
+BOX = ("min_x", "min_y", "max_x", "max_y")
+
+
+def level(width: Column, height: Column, cell: float) -> Column:
+    """The level at which a box is at most a cell wide and high: cells double from level to level, from ``cell`` at 0."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(width, height, F.lit(1e-300)) / cell))).cast("int")
+
+
+def cells_of(x0: Column, y0: Column, x1: Column, y1: Column, size: Column) -> Column:
+    """The cells that a box meets: at most four, if it is no larger than a cell."""
+    at = lambda x: F.floor(x / size).cast("long")
+    return F.flatten(F.transform(F.sequence(at(x0), at(x1)), lambda i: F.transform(F.sequence(at(y0), at(y1)), lambda j: F.struct(i.alias("gx"), j.alias("gy")))))
+
+
 def join_boxes(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Pairs of boxes that overlap: columns (id, min_x, min_y, max_x, max_y) on both sides, result (a_id, b_id).
 
-    Both sides are entered in the cells they cover and meet by cell; a pair is reported only
-    in the first cell that both cover, so no distinct is needed.
+    A box belongs to the level at which it is no larger than a cell, so it meets four cells at most,
+    however large it is; a pair meets at the coarser one's level, to which the finer box is
+    entered as well, and is reported only in the first cell that both meet: no distinct is needed.
     """
     c = F.col
 
+    def leveled(df: DataFrame, p: str) -> DataFrame:
+        df = df.select(c("id").alias(f"{p}id"), *(c(x).cast("double").alias(f"{p}{x}") for x in BOX))
+        return df.withColumn(f"{p}level", level(c(f"{p}max_x") - c(f"{p}min_x"), c(f"{p}max_y") - c(f"{p}min_y"), cell))
+
+    a, b = leveled(a, "a_"), leveled(b, "b_")
+    levels = a.select(c("a_level").alias("level")).union(b.select(c("b_level").alias("level"))).distinct()  # at most one for each power of two
+
     def entered(df: DataFrame, p: str) -> DataFrame:
-        at = lambda x: F.floor(c(x) / cell).cast("long")
-        df = df.select(c("id").alias(f"{p}id"), *(c(x).alias(f"{p}{x}") for x in ("min_x", "min_y", "max_x", "max_y")))
-        df = df.withColumn("gx", F.explode(F.sequence(at(f"{p}min_x"), at(f"{p}max_x"))))
-        return df.withColumn("gy", F.explode(F.sequence(at(f"{p}min_y"), at(f"{p}max_y"))))
+        df = df.join(F.broadcast(levels), c("level") >= c(f"{p}level"))
+        return df.withColumn("_at", F.explode(cells_of(*(c(f"{p}{x}") for x in BOX), F.pow(F.lit(2.0), c("level")) * cell))).select("*", "_at.*").drop("_at")
 
-    met = entered(a, "a_").join(entered(b, "b_"), ["gx", "gy"])
+    met = entered(a, "a_").join(entered(b, "b_"), ["level", "gx", "gy"]).where(c("level") == F.greatest("a_level", "b_level"))
     met = met.where("a_max_x >= b_min_x and a_min_x <= b_max_x and a_max_y >= b_min_y and a_min_y <= b_max_y")
-    first = (c("gx") == F.floor(F.greatest("a_min_x", "b_min_x") / cell)) & (c("gy") == F.floor(F.greatest("a_min_y", "b_min_y") / cell))
+    size = F.pow(F.lit(2.0), c("level")) * cell
+    first = (c("gx") == F.floor(F.greatest("a_min_x", "b_min_x") / size)) & (c("gy") == F.floor(F.greatest("a_min_y", "b_min_y") / size))
     return met.where(first).select("a_id", "b_id")
 
 
+def near_points(points: DataFrame, boxes: DataFrame, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Points (px, py) joined with the boxes (bx0, by0, bx1, by1) that hold them, on the columns ``by`` that both have.
+
+    As in ``join_boxes``, a box meets four cells of its level at most; a point is entered once a level.
+    """
+    c = F.col
+    boxes = boxes.withColumn("level", level(c("bx1") - c("bx0"), c("by1") - c("by0"), cell))
+    levels = boxes.select("level").distinct()
+    size = F.pow(F.lit(2.0), c("level")) * cell
+    boxes = boxes.withColumn("_at", F.explode(cells_of(c("bx0"), c("by0"), c("bx1"), c("by1"), size))).select("*", "_at.*").drop("_at")
+    placed = points.join(F.broadcast(levels)).withColumn("gx", F.floor(c("px") / size).cast("long")).withColumn("gy", F.floor(c("py") / size).cast("long"))
+    keys = [n for n in by if n in points.columns]
+    return placed.join(boxes, [*keys, "level", "gx", "gy"]).where("px >= bx0 and px <= bx1 and py >= by0 and py <= by1").drop("level", "gx", "gy")
+
+
 def use_all(cells_in_view: Column, cells: Column, ms_since_interaction: Column) -> Column:
     """Whether a view that covers most cells should skip the index while nothing moves."""
     return (cells_in_view >= cells * 0.92) & (ms_since_interaction >= 140)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkfold.functions import scalar
 from inkfold.operators import atlas, catalog, coverage, cull, grid, interp, layout, merge, metrics, paths, raster, text
 from inkfold.plans import fixtures
+from inkfold.plans.session import written
 from inkfold.sources import codecs, container
 from inkfold.streaming import camera
 
@@ -292,12 +293,16 @@ def scene_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cull, index, view and figures in one: per page what is drawn, seen, and how the index is filled."""
-    culled = cull.cull(fixtures.strokes(spark, sf_dir))
+    """Cull, index, view and figures in one: per page what is drawn, seen, and how the index is filled.
+
+    The culled strokes and the pages' shapes are written once and read by all that follows.
+    """
+    culled = written(cull.cull(fixtures.strokes(spark, sf_dir)), "culled")
     left = culled.where("reason is null")
-    views = grid.shape(left).select("doc_id", "page_no", *(F.lit(v).alias(k) for k, v in VIEW.items()))
-    seen = grid.visible_in(left, views).groupBy("page_no").agg(F.count(F.lit(1)).alias("in_view"))
-    return cull.reduction(culled).join(grid.stats(left).select("page_no", "gw", "gh", "entries", "max_cell"), "page_no").join(seen, "page_no", "left")
+    pages = written(grid.shape(left), "shapes")
+    views = pages.select("doc_id", "page_no", *(F.lit(v).alias(k) for k, v in VIEW.items()))
+    seen = grid.visible_in(left, views, pages).groupBy("page_no").agg(F.count(F.lit(1)).alias("in_view"))
+    return cull.reduction(culled).join(grid.stats(left, pages).select("page_no", "gw", "gh", "entries", "max_cell"), "page_no").join(seen, "page_no", "left")
 
 
 QUERIES = {

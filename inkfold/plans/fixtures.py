@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Order keys that are numbered together.
+BLOCK = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,7 +22,13 @@ def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line for each order item; a page for each line number."""
     c = F.col
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
-    order = Window.partitionBy("l_linenumber").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    # Ids count up within a page, and a page holds a seventh of all rows: blocks of orders are numbered apart, and their sizes are summed up before.
+    items = items.withColumn("block", F.floor(c("l_orderkey") / BLOCK))
+    sizes = items.groupBy("l_linenumber", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("l_linenumber").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("l_linenumber", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    order = Window.partitionBy("l_linenumber", "block").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    items = items.withColumn("k", F.row_number().over(order)).join(sizes, ["l_linenumber", "block"])
     ax, ay = (c("l_partkey") % 20).cast("double"), (c("l_suppkey") % 10).cast("double")
     step = F.when(c("l_quantity") == 1, 0.0).otherwise(F.ceil(c("l_quantity") / 10) * 10.0)
     bx = ax + F.when(c("l_returnflag").isin("A", "R"), step).otherwise(0.0)
@@ -29,7 +39,7 @@ def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     alpha = F.when(c("l_orderkey") % 20 == 0, 0.0).when(c("l_linestatus") == "F", 1.0).otherwise(0.5)
     zero = F.lit(0.0)
     return items.select(
-        F.lit(0).cast("long").alias("doc_id"), c("l_linenumber").alias("page_no"), (F.row_number().over(order) - 1).cast("long").alias("seg_id"),
+        F.lit(0).cast("long").alias("doc_id"), c("l_linenumber").alias("page_no"), (c("before") + c("k") - 1).cast("long").alias("seg_id"),
         x0.alias("x0"), y0.alias("y0"), x1.alias("cx"), y1.alias("cy"), x1.alias("x1"), y1.alias("y1"), F.lit(0).alias("prim_type"),
         ((c("l_orderkey") % 3 + 1) / 2.0).alias("half_width"), zero.alias("r"), zero.alias("g"), zero.alias("b"), alpha.alias("alpha"),
         F.when(c("l_partkey") % 10 == 0, 2).otherwise(0).alias("flags"),
