@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalar
 from inkfold.operators import atlas, catalog, coverage, cull, grid, interp, layout, merge, metrics, paths, raster, text
 from inkfold.plans import fixtures
-from inkfold.plans.session import written
+from inkfold.plans.session import ship, written
 from inkfold.sources import codecs, container
 from inkfold.streaming import camera
 
@@ -231,36 +235,55 @@ def atlas_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def atlas_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return atlas.placements(_glyph_boxes(spark, sf_dir))
+    return atlas.placements(_glyph_boxes(spark, sf_dir)).select("glyph_id", "x", "y", "tile_w", "tile_h", *_r("u0", "v0", "u1", "v1", digits=9), "atlas_w", "atlas_h")
 
 
 def mip_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.mip_table(fixtures.pixels(spark))
 
 
+ENCODINGS = [("interleaved", "none"), ("channel-major", "none"), ("interleaved", "byte-shuffle"), ("interleaved", "xor-delta-byte-shuffle")]
+
+
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each embedding survives channel-major planes and xor-deltas of its bits."""
+    """Each embedding's bytes in every layout and predictor, as the hash of their bits, and whether they decode to the same floats."""
     e = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    bits = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1048576).cast("long"))
-    e = e.select("vec_id", "embedding", codecs.channel_major(F.col("embedding")).alias("planes"), bits.alias("bits"), codecs.xor_delta(bits).alias("delta"))
-    ok = (codecs.interleaved(F.col("planes")) == F.col("embedding")) & (codecs.xor_scan(F.col("delta")) == F.col("bits"))
-    return e.select("vec_id", ok.alias("ok"), F.element_at("planes", 2).cast("double").alias("second_of_plane"))
+    ship(spark)
 
+    def run(batches):
+        for batch in batches:
+            ids, names, bits, same = [], [], [], []
+            for i, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = np.asarray(values, "<f4")
+                for layout, predictor in ENCODINGS:
+                    data = codecs.encode(v, layout, predictor)
+                    ids.append(i)
+                    names.append(f"{layout} {predictor}")
+                    bits.append(hashlib.sha256("".join(f"{x:08b}" for x in data).encode()).hexdigest())
+                    same.append(codecs.decode(data, layout, predictor).tobytes() == v.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(bits, pa.string()), pa.array(same, pa.bool_())], ["vec_id", "encoding", "bits", "ok"])
+
+    return e.mapInArrow(run, "vec_id long, encoding string, bits string, ok boolean")
 
-def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as scene columns, packed into containers and read again by the executors."""
-    import pyarrow as pa
 
-    e = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit("text-glyph-meta-a").alias("name"), F.col("embedding").alias("values"))
-    packed = container.to_containers(e)
+def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes of all sixteen columns, packed into containers of every layout and read again by the executors: a weighted sum of each column."""
+    e = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ship(spark)
 
     def run(batches):
         for batch in batches:
-            cols = [container.read_columns(d, {"text-glyph-meta-a"})[1]["text-glyph-meta-a"] for d in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.list_(pa.float32()))], ["doc_id", "back"])
+            rows = []
+            for i, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for layout, predictor in ENCODINGS:
+                    data = container.build({name: np.roll(np.asarray(values, "<f4"), -k) for k, name in enumerate(container.COLUMNS)}, {}, layout=layout, predictor=predictor)
+                    for name, back in container.read_columns(data)[1].items():
+                        rows.append((i, f"{layout} {predictor}", name, len(back) // 4, float(np.dot(back.astype(float), np.arange(1, len(back) + 1)))))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "encoding", "name", "items", "weighted"])
 
-    back = packed.mapInArrow(run, "doc_id long, back array<float>")
-    return back.join(e, "doc_id").select("doc_id", (F.col("back") == F.col("values")).alias("ok"), (F.size("back") / 4).cast("int").alias("items"))
+    back = e.mapInArrow(run, "doc_id long, encoding string, name string, items int, weighted double")
+    return back.select("doc_id", "encoding", "name", "items", *_r("weighted", digits=3))
 
 
 # ---- camera and metrics
@@ -282,7 +305,7 @@ def camera_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("session_id"), F.col("event_id").alias("event_seq"), t.alias("t_ms"), kind.alias("kind"), F.lit(1).alias("pointer_id"), F.lit("mouse").alias("pointer_type"),
         (F.col("value") % 100).alias("x"), k.alias("y"), (F.col("value") - 100).alias("delta_y"),
     )
-    return camera.replay(events)
+    return camera.replay(events).select("session_id", "event_seq", *_r("cx", "cy", "zoom"), "active")
 
 
 def scene_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,6 +522,23 @@ ORACLES = {
         d AS (SELECT *, sqrt(pow(px - (x0 + t * (x1 - x0)), 2) + pow(py - (y0 + t * (y1 - y0)), 2)) AS d FROM t),
         k AS (SELECT *, least(1, greatest(0, (d - (half_width - 1)) / 2)) AS k FROM d)
         SELECT page_no, point_id, count(*) AS strokes, round(min(round(d, 6)), 6) AS nearest, max(round(1 - k * k * (3 - 2 * k), 6)) AS strongest FROM k WHERE 1 - k * k * (3 - 2 * k) > 0 GROUP BY page_no, point_id""",
+    "page_strokes": f"""WITH RECURSIVE {_LINE}, page AS (SELECT user_id, event_id, 2 * x0 + 1 AS x0, 2 * y0 AS y0, 2 * x1 + 1 AS x1, 2 * y1 AS y1 FROM seg),
+        line AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM page WHERE (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) >= 1e-10),
+        st AS (
+            SELECT user_id, rn, 0 AS chain, x0 AS ax, y0 AS ay, x1 AS ex, y1 AS ey FROM line WHERE rn = 1
+            UNION ALL
+            SELECT user_id, rn, CASE WHEN ok THEN chain ELSE chain + 1 END, CASE WHEN ok THEN ax ELSE x0 END, CASE WHEN ok THEN ay ELSE y0 END, x1, y1 FROM (
+                SELECT s.user_id, s.rn, t.chain, t.ax, t.ay, s.x0, s.y0, s.x1, s.y1,
+                    (t.ex - t.ax) * (s.x1 - s.x0) + (t.ey - t.ay) * (s.y1 - s.y0)
+                        >= 0.999995::DOUBLE * sqrt(((t.ex - t.ax) * (t.ex - t.ax) + (t.ey - t.ay) * (t.ey - t.ay)) * ((s.x1 - s.x0) * (s.x1 - s.x0) + (s.y1 - s.y0) * (s.y1 - s.y0)))
+                    AND pow((t.ex - t.ax) * (s.y1 - t.ay) - (t.ey - t.ay) * (s.x1 - t.ax), 2) <= 0.05::DOUBLE * 0.05::DOUBLE * ((t.ex - t.ax) * (t.ex - t.ax) + (t.ey - t.ay) * (t.ey - t.ay)) AS ok
+                FROM st t JOIN line s ON s.user_id = t.user_id AND s.rn = t.rn + 1
+            )
+        ) SELECT user_id AS doc_id, count(*) AS source, CAST(max(chain) + 1 AS BIGINT) AS merged, 3.0::DOUBLE AS half_width, max(ex) AS max_x FROM st GROUP BY user_id""",
+    "page_fills": f"""WITH {_LINE}, ends AS (SELECT user_id, arg_min(x, event_id) AS sx, arg_min(y, event_id) AS sy, arg_max(x, event_id) AS ex, arg_max(y, event_id) AS ey, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM pts GROUP BY user_id),
+        n AS (SELECT user_id, count(*) FILTER (x0 <> x1 OR y0 <> y1) AS n FROM seg GROUP BY user_id)
+        SELECT user_id AS doc_id, CAST(0 AS BIGINT) AS fill_id, CAST(0 AS BIGINT) AS seg_start, n + CASE WHEN sx <> ex OR sy <> ey THEN 1 ELSE 0 END AS seg_count, 2 * lx + 1 AS min_x, 2 * ly AS min_y, 2 * hx + 1 AS max_x, 2 * hy AS max_y,
+            CAST(0 AS INTEGER) AS rule, TRUE AS has_stroke FROM ends JOIN n USING (user_id)""",
     "catalog_match": """WITH l AS (SELECT p_partkey AS id, p_name || '.pdf' AS name, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM part),
         r AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') || '-parsed-data.zip' AS name, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM part WHERE p_partkey % 3 <> 0),
         lk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lower(name), name, id) AS k FROM l), rk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lower(name), name, id) AS k FROM r)
@@ -509,10 +549,65 @@ ORACLES = {
         SELECT CAST(page_no AS INTEGER) AS page_no, round(CASE WHEN arg_min(s, k) < 1.05 THEN 1.0::DOUBLE ELSE arg_min(s, k) END, 6) + 0.0::DOUBLE AS scale FROM f GROUP BY page_no""",
     "atlas_tiles": f"""WITH {_TEXT}, g AS (SELECT glyph_id, CAST(unicode(ch) % 10 * 50 + 250 AS DOUBLE) AS w, CAST(unicode(ch) % 7 * 100 + 100 AS DOUBLE) AS h FROM dict WHERE ch NOT IN (' ', chr(10), chr(9)))
         SELECT glyph_id, CAST(least(256, greatest(8, ceil(w * (96.0::DOUBLE / greatest(w, h))))) + 16 AS INTEGER) AS tile_w, CAST(least(256, greatest(8, ceil(h * (96.0::DOUBLE / greatest(w, h))))) + 16 AS INTEGER) AS tile_h FROM g""",
+    # All scales of the ladder and all widths at once; the first that fits is taken.
+    "atlas_placements": f"""WITH RECURSIVE {_TEXT}, g AS (SELECT glyph_id, CAST(unicode(ch) % 10 * 50 + 250 AS DOUBLE) AS w, CAST(unicode(ch) % 7 * 100 + 100 AS DOUBLE) AS h FROM dict WHERE ch NOT IN (' ', chr(10), chr(9))),
+        ladder AS (SELECT unnest([1.0::DOUBLE, 0.85, 0.7, 0.58, 0.46, 0.36]) AS share, unnest(range(6)) AS q),
+        tile AS (SELECT q, glyph_id, CAST(least(256, greatest(8, ceil(w * (96 * share / greatest(w, h))))) + 16 AS INTEGER) AS tw, CAST(least(256, greatest(8, ceil(h * (96 * share / greatest(w, h))))) + 16 AS INTEGER) AS th FROM g, ladder),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY th DESC, tw DESC, glyph_id) AS rn FROM tile),
+        side AS (SELECT q, greatest(max(greatest(tw, th)), floor(sqrt(sum(tw * th)))) AS side FROM tile GROUP BY q),
+        width AS (SELECT q, unnest(list_filter(list_transform(range(14), lambda k: 1 << k::INTEGER), lambda x: x >= side)) AS aw FROM side),
+        st AS (
+            SELECT q, aw, 0::BIGINT AS rn, CAST(NULL AS BIGINT) AS glyph_id, 0 AS tw, 0 AS th, 0 AS x, 0 AS y, 0 AS next_x, 0 AS shelf, TRUE AS ok FROM width
+            UNION ALL
+            SELECT s.q, aw, r.rn, r.glyph_id, r.tw, r.th, CASE WHEN next_x + r.tw > aw THEN 0 ELSE next_x END, CASE WHEN next_x + r.tw > aw THEN y + shelf ELSE y END, CASE WHEN next_x + r.tw > aw THEN r.tw ELSE next_x + r.tw END,
+                CASE WHEN next_x + r.tw > aw THEN r.th ELSE greatest(shelf, r.th) END, ok AND r.tw <= aw AND CASE WHEN next_x + r.tw > aw THEN y + shelf ELSE y END + r.th <= 8192 FROM st s JOIN ranked r ON r.q = s.q AND r.rn = s.rn + 1
+        ), done AS (SELECT q, aw, max(y + shelf) AS high, bool_and(ok) AS ok FROM st GROUP BY q, aw), best AS (SELECT * FROM done WHERE ok AND high <= aw ORDER BY q, aw LIMIT 1),
+        size AS (SELECT q, aw, list_min(list_filter(list_transform(range(14), lambda k: 1 << k::INTEGER), lambda x: x >= high)) AS ah FROM best)
+        SELECT glyph_id, x, y, tw AS tile_w, th AS tile_h, round((x + 8) / aw, 9) AS u0, round((y + 8) / ah, 9) AS v0, round((x + tw - 8) / aw, 9) AS u1, round((y + th - 8) / ah, 9) AS v1, CAST(aw AS INTEGER) AS atlas_w, CAST(ah AS INTEGER) AS atlas_h
+        FROM st JOIN size USING (q, aw) WHERE rn > 0""",
+    "camera_fold": """WITH RECURSIVE ev AS (
+            SELECT user_id AS sid, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, event_type AS k, epoch_us(ts) / 1000.0::DOUBLE AS et, value % 100 AS ex, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS ey, value - 100 AS dy FROM events
+        ), st AS (
+            SELECT DISTINCT user_id AS sid, 0::BIGINT AS rn, CAST(NULL AS BIGINT) AS event_id, 0::DOUBLE AS cx, 0::DOUBLE AS cy, 1::DOUBLE AS zoom, 0::DOUBLE AS tx, 0::DOUBLE AS ty, 1::DOUBLE AS tz, CAST(NULL AS DOUBLE) AS t, 0::DOUBLE AS vx, 0::DOUBLE AS vy, CAST(NULL AS DOUBLE) AS v_t,
+                0::DOUBLE AS px, 0::DOUBLE AS py, CAST(NULL AS DOUBLE) AS p_t, CAST(NULL AS DOUBLE) AS input_t, FALSE AS dragging, CAST(NULL AS DOUBLE) AS hx, CAST(NULL AS DOUBLE) AS hy, CAST(NULL AS DOUBLE) AS wx, CAST(NULL AS DOUBLE) AS wy, CAST(NULL AS DOUBLE) AS ax, CAST(NULL AS DOUBLE) AS ay, FALSE AS active FROM events
+            UNION ALL
+            SELECT sid, rn, event_id, ncx, ncy, nz,
+                CASE WHEN k = 'signup' OR pans THEN ncx WHEN k = 'view' THEN nwx - (nax - 512) / ntz WHEN lets AND flies THEN ncx + vx / 24 WHEN k = 'purchase' AND wx IS NOT NULL AND nz = tz THEN ncx ELSE tx END,
+                CASE WHEN k = 'signup' OR pans THEN ncy WHEN k = 'view' THEN nwy + (nay - 384) / ntz WHEN lets AND flies THEN ncy + vy / 24 WHEN k = 'purchase' AND wx IS NOT NULL AND nz = tz THEN ncy ELSE ty END,
+                ntz, CASE WHEN k = 'purchase' THEN et ELSE t END,
+                CASE WHEN k = 'signup' THEN 0 WHEN samples THEN sx * least(1, 20000 / speed) ELSE vx END, CASE WHEN k = 'signup' THEN 0 WHEN samples THEN sy * least(1, 20000 / speed) ELSE vy END, CASE WHEN k = 'signup' OR (lets AND dragging) THEN NULL WHEN samples THEN et ELSE v_t END,
+                CASE WHEN k = 'signup' OR lets OR (k = 'purchase' AND dragging) THEN ncx ELSE px END, CASE WHEN k = 'signup' OR lets OR (k = 'purchase' AND dragging) THEN ncy ELSE py END, CASE WHEN k = 'signup' OR lets OR (k = 'purchase' AND dragging) THEN et ELSE p_t END,
+                CASE WHEN pans OR k = 'view' THEN et ELSE input_t END, CASE WHEN k = 'signup' THEN TRUE WHEN lets THEN FALSE ELSE dragging END, CASE WHEN k = 'signup' OR pans THEN ex WHEN lets THEN NULL ELSE hx END, CASE WHEN k = 'signup' OR pans THEN ey WHEN lets THEN NULL ELSE hy END,
+                nwx, nwy, nax, nay, coalesce(et - CASE WHEN pans OR k = 'view' THEN et ELSE input_t END <= 140, FALSE)
+            FROM (
+                SELECT *, coalesce(k = 'purchase' AND dragging AND et - p_t > 0.1 AND speed >= 5, FALSE) AS samples, coalesce(dragging AND et - v_t <= 120 AND sqrt(vx * vx + vy * vy) >= 5, FALSE) AS flies,
+                    CASE WHEN k = 'view' THEN cx + (ex - 512) / zoom WHEN k = 'signup' OR pans OR (k = 'purchase' AND nz = tz) THEN NULL ELSE wx END AS nwx, CASE WHEN k = 'view' THEN cy - (ey - 384) / zoom WHEN k = 'signup' OR pans OR (k = 'purchase' AND nz = tz) THEN NULL ELSE wy END AS nwy,
+                    CASE WHEN k = 'view' THEN ex WHEN k = 'signup' OR pans OR (k = 'purchase' AND nz = tz) THEN NULL ELSE ax END AS nax, CASE WHEN k = 'view' THEN ey WHEN k = 'signup' OR pans OR (k = 'purchase' AND nz = tz) THEN NULL ELSE ay END AS nay
+                FROM (
+                    SELECT *, CASE WHEN p_t < et THEN (ncx - px) * 1000 / (et - p_t) END AS sx, CASE WHEN p_t < et THEN (ncy - py) * 1000 / (et - p_t) END AS sy, sqrt(sx * sx + sy * sy) AS speed FROM (
+                        SELECT *, CASE WHEN pans THEN cx - (ex - hx) / zoom WHEN k <> 'purchase' THEN cx WHEN wx IS NOT NULL THEN wx - (ax - 512) / nz WHEN abs(tx - (cx + (tx - cx) * share)) <= 1e-4 THEN tx ELSE cx + (tx - cx) * share END AS ncx,
+                            CASE WHEN pans THEN cy + (ey - hy) / zoom WHEN k <> 'purchase' THEN cy WHEN wx IS NOT NULL THEN wy + (ay - 384) / nz WHEN abs(ty - (cy + (ty - cy) * share)) <= 1e-4 THEN ty ELSE cy + (ty - cy) * share END AS ncy
+                        FROM (
+                            SELECT *, CASE WHEN k <> 'purchase' THEN zoom WHEN abs(tz - (zoom + (tz - zoom) * share)) <= 1e-5 * greatest(1, tz) THEN tz ELSE zoom + (tz - zoom) * share END AS nz,
+                                CASE WHEN k = 'signup' OR pans THEN zoom WHEN k = 'view' THEN least(8192, greatest(0.01, tz * least(10, greatest(0.1, exp(-dy * 0.0013::DOUBLE))))) ELSE tz END AS ntz
+                            FROM (
+                                SELECT s.* EXCLUDE (rn, event_id, active), e.rn, e.event_id, e.k, e.et, e.ex, e.ey, e.dy, k = 'click' AND hx IS NOT NULL AS pans, k = 'error' AND hx IS NOT NULL AS lets,
+                                    CASE WHEN t IS NULL THEN 0 ELSE 1 - exp(-24 * least(64, greatest(0, et - t)) / 1000) END AS share FROM st s JOIN ev e ON e.sid = s.sid AND e.rn = s.rn + 1
+                            ))))))
+        SELECT sid AS session_id, event_id AS event_seq, round(cx, 6) + 0.0::DOUBLE AS cx, round(cy, 6) + 0.0::DOUBLE AS cy, round(zoom, 6) + 0.0::DOUBLE AS zoom, active FROM st WHERE rn > 0""",
     "mip_level1": """WITH p AS (SELECT i % 64 AS x, i // 64 AS y, (i % 64 * 7 + i // 64 * 13) % 256 AS v FROM range(4096) t(i))
         SELECT x // 2 AS x, y // 2 AS y, CAST((sum(v) + 2) // 4 AS BIGINT) AS v FROM p GROUP BY ALL""",
-    "codec_roundtrip": "SELECT vec_id, TRUE AS ok, CAST(embedding[5] AS DOUBLE) AS second_of_plane FROM embeddings",
-    "container_roundtrip": "SELECT vec_id AS doc_id, TRUE AS ok, CAST(len(embedding) / 4 AS INTEGER) AS items FROM embeddings",
+    "codec_roundtrip": """WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(CAST(x AS FLOAT) AS BIT)) AS b FROM embeddings),
+        t AS (SELECT vec_id, list_transform(b, lambda x: CAST(x AS VARCHAR)) AS w, list_transform(range(1, len(b) + 1), lambda i: CAST(CASE WHEN i = 1 THEN b[i] ELSE xor(b[i], b[i - 1]) END AS VARCHAR)) AS d FROM w),
+        e AS (
+            SELECT vec_id, 'interleaved none' AS encoding, list_transform(range(256), lambda k: substr(w[k // 4 + 1], CAST(25 - k % 4 * 8 AS BIGINT), 8)) AS bytes FROM t
+            UNION ALL SELECT vec_id, 'channel-major none', list_transform(range(256), lambda k: substr(w[k // 4 % 16 * 4 + k // 64 + 1], CAST(25 - k % 4 * 8 AS BIGINT), 8)) FROM t
+            UNION ALL SELECT vec_id, 'interleaved byte-shuffle', list_transform(range(256), lambda k: substr(w[k % 64 + 1], CAST(25 - k // 64 * 8 AS BIGINT), 8)) FROM t
+            UNION ALL SELECT vec_id, 'interleaved xor-delta-byte-shuffle', list_transform(range(256), lambda k: substr(d[k % 64 + 1], CAST(25 - k // 64 * 8 AS BIGINT), 8)) FROM t
+        ) SELECT vec_id, encoding, sha256(array_to_string(bytes, '')) AS bits, TRUE AS ok FROM e""",
+    "container_roundtrip": f"""WITH n AS (SELECT unnest({list(container.COLUMNS)!r}) AS name, unnest(range({len(container.COLUMNS)})) AS k), f AS (SELECT unnest({[' '.join(x) for x in ENCODINGS]!r}) AS encoding),
+        v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+        SELECT vec_id AS doc_id, encoding, name, CAST(len(e) / 4 AS INTEGER) AS items, round(list_sum(list_transform(range(len(e)), lambda i: e[(i + k) % len(e) + 1] * (i + 1))), 3) + 0.0::DOUBLE AS weighted FROM v, n, f""",
     "camera_pan": """SELECT user_id, event_id, round(sum(-floor(value % 100)) OVER w, 6) + 0.0::DOUBLE AS cx, round(sum(coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0)) OVER w, 6) + 0.0::DOUBLE AS cy
         FROM events WHERE event_type = 'click' WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
 }

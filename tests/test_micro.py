@@ -1,6 +1,9 @@
 """Hand-computed cases of the drawing operators."""
 
+import io
+import json
 import math
+import zipfile
 
 import numpy as np
 import pytest
@@ -172,6 +175,45 @@ def test_container(spark, tmp_path):
         container.build(cols, {"segmentCount": 3})
 
 
+def test_container_of_another_age():
+    """Hand-made archives: older names, luma instead of colours, a single layer, bounds left out."""
+    old = io.BytesIO()
+    with zipfile.ZipFile(old, "w") as z:
+        parts = {"endpoints": [0, 0, 3, 4], "styles": [2, 0.25, 0.5, 1], "fill-path-meta-a": [0, 1, -5, -6], "fill-path-meta-b": [7, 8, 0.5, 0.75], "fill-path-meta-c": [0, 0, 0, 0], "text-instance-a": [0] * 4, "text-instance-b": [1, 2, 3, 0.125]}
+        for name, values in parts.items():
+            z.writestr(f"textures/{name}.f32", np.array(values, "<f4").tobytes())
+        scene = {"segmentCount": 1, "maxHalfWidth": 0, "pageBounds": {"minX": 0, "minY": 0, "maxX": 9, "maxY": None}, "pageRects": [0, 0, 1, 1, 5], "rasterLayerWidth": 1, "rasterLayerHeight": 1, "rasterLayerMatrix": [2, 0, 0, 2, 0]}
+        z.writestr("manifest.json", json.dumps({"formatVersion": 1, "sourcePdfFile": "own/doc.pdf", "scene": scene, "textures": [{"name": n} for n in parts]}))
+        z.writestr("raster/layer.rgba", b"abcdef")
+        z.writestr("own/doc.pdf", b"%PDF own")
+        z.writestr("source.pdf", b"%PDF other")
+    data = old.getvalue()
+    manifest, cols = container.read_columns(data)
+    assert cols["stroke-primitives-b"].tolist() == [3, 4, 0, 2.5] and cols["stroke-styles"].tolist() == [2, 0.25, 0.25, 0.25] and cols["stroke-primitive-bounds"].tolist() == [0, 0, 3, 4]
+    assert cols["fill-path-meta-b"].tolist() == [7, 8, 0.5, 0.5] and cols["fill-path-meta-c"].tolist() == [0, 0, 0.5, 0.75] and cols["text-instance-c"].tolist() == [0.125, 0.125, 0.125, 1]
+    meta = container.scene_meta(manifest, cols)
+    assert meta["bounds"] == {"minX": -5, "minY": -6, "maxX": 7, "maxY": 8} and meta["pageBounds"] == {"minX": 0, "minY": 0, "maxX": 9, "maxY": 0} and meta["pageRects"] == [[0, 0, 1, 1]] and meta["maxHalfWidth"] == 2
+    assert container.raster_layers(data) == [{"width": 1, "height": 1, "matrix": [1, 0, 0, 1, 0, 0], "encoding": "rgba", "data": b"abcd"}]
+    assert container.source_document(data) == b"%PDF own"
+
+
+def test_containers_tell_all(spark, tmp_path):
+    """Every layout; the manifest tells bounds, page boxes, counts and the largest half width, and where the source is."""
+    cols = {"stroke-primitives-a": [0, 0, 3, 4], "stroke-primitives-b": [3, 4, 0, 1], "stroke-styles": [1.5, 0, 0, 0], "stroke-primitive-bounds": [0, 0, 3, 4], "text-glyph-primitives-a": [1, 2, 3, 4]}
+    for i, (layout, predictor) in enumerate([("channel-major", "none"), ("interleaved", "none"), ("interleaved", "byte-shuffle"), ("interleaved", "xor-delta-byte-shuffle")]):
+        data = container.build(cols, {"imagePaintOpCount": 2, "pageRects": [0, 0, 8, 8]}, layout=layout, predictor=predictor, source=b"%PDF", label="a.pdf", generated_at="2020-01-01T00:00:00Z")
+        manifest, back = container.read_columns(data)
+        scene = manifest["scene"]
+        assert all(back[k].tolist() == v for k, v in cols.items()) and manifest["sourcePdfFile"] == "source/source.pdf" and manifest["sourcePdfSizeBytes"] == 4 and manifest["generatedAt"] == "2020-01-01T00:00:00Z"
+        assert scene["bounds"] == {"minX": 0, "minY": 0, "maxX": 3, "maxY": 4} and scene["pageRects"] == [0, 0, 8, 8] and (scene["maxHalfWidth"], scene["segmentCount"], scene["textGlyphPrimitiveCount"], scene["pagesPerRow"]) == (1.5, 1, 1, 1)
+        assert container.source_document(data) == b"%PDF" and {t["predictor"] for t in manifest["textures"]} == {predictor}
+        (tmp_path / f"{i}.zip").write_bytes(data)
+    assert len({r["meta"] for r in container.read_meta(spark, f"file://{tmp_path}").collect()}) == 1
+    image = {"width": 3, "height": 2, "matrix": [1, 0, 0, 1, 0, 0], "data": b"\x89PNG", "encoding": "png"}
+    data = container.build({}, {"imagePaintOpCount": 2}, source=b"%PDF", layers=[image])
+    assert container.raster_layers(data) == [image] and container.source_document(data) is None and container.read_columns(data)[0]["scene"]["rasterLayerFile"] == "raster/layer-0.png"
+
+
 def test_catalog(spark, tmp_path):
     names = spark.createDataFrame([("Plan A.pdf",), ("plan a.pdf",), ("plan_a-2.pdf",)], "name string")
     ids = [r["uid"] for r in catalog.unique_ids(names.withColumn("o", F.col("name")), ["o"]).collect()]
