@@ -286,6 +286,11 @@ def wheel_factor(delta: Column) -> Column:
 # ---- names and texts
 
 
+def iso_time(t: Column) -> Column:
+    """A time as text, to the millisecond in UTC."""
+    return F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def stem(name: Column) -> Column:
     """A file name without its last extension."""
     return F.regexp_replace(name, r"\.[^.]*$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.functions.scalar import comparable_stem, id_stem, stem, without_parsed_suffix, zip_score
+from inkfold.functions.scalar import comparable_stem, id_stem, iso_time, stem, without_parsed_suffix, zip_score
 
 
 def keyed(names: DataFrame, kind: str) -> DataFrame:
@@ -51,12 +51,13 @@ def catalog(left: DataFrame, right: DataFrame) -> DataFrame:
     return match(left, right).where("left_name is not null and right_name is not null").orderBy(F.lower("left_name"), "left_name", "right_name")
 
 
-def manifest_json(entries: DataFrame, generated_at: str) -> DataFrame:
-    """One JSON text from (id, name, pdf_path, pdf_size, zip_path, zip_size)."""
+def manifest_json(entries: DataFrame, generated_at: str | None = None) -> DataFrame:
+    """One JSON text from (id, name, pdf_path, pdf_size, zip_path, zip_size); the time is now, if not given."""
+    when = F.lit(generated_at) if generated_at else iso_time(F.current_timestamp())
     entry = F.struct(
         "id", "name", F.struct(F.col("pdf_path").alias("path"), F.col("pdf_size").alias("sizeBytes")).alias("pdf"),
         F.struct(F.col("zip_path").alias("path"), F.col("zip_size").alias("sizeBytes")).alias("parsedZip"),
     )
     order = F.struct(F.lower("name").alias("o"), F.col("id").alias("i"), entry.alias("e"))
     listed = entries.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["e"]).alias("examples"))
-    return listed.select(F.to_json(F.struct(F.lit(generated_at).alias("generatedAt"), F.col("examples"))).alias("manifest"))
+    return listed.select(F.to_json(F.struct(when.alias("generatedAt"), F.col("examples"))).alias("manifest"))

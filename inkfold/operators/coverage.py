@@ -77,6 +77,11 @@ def stroke_coverage(distance: Column, half_width: Column, hairline: Column, zoom
     return 1 - smoothstep(hw - aa, hw + aa, distance)
 
 
+def drawn(alpha: Column, length: Column, flags: Column) -> Column:
+    """Whether a stroke is drawn at all: opaque enough, and of some length unless its caps are round."""
+    return (alpha > 1e-3) & ((length >= 1e-5) | (flags.bitwiseAND(2) != 0))
+
+
 def line_crossing(px, py, x0, y0, x1, y1) -> Column:
     """+1 or -1 where the ray to the right of the point meets the edge going up or down, else 0."""
     up, down = (y0 <= py) & (py < y1), (y1 <= py) & (py < y0)

@@ -176,7 +176,7 @@ _PAINTED = pa.schema([
 ])
 
 
-def _by_page(ops: DataFrame, wanted: list[str], rows, schema: str, arrow: pa.Schema, **options) -> DataFrame:
+def _by_page(ops: DataFrame, wanted: list[str], rows, schema: str, arrow: pa.Schema, more: tuple[str, ...] = (), **options) -> DataFrame:
     ship(ops.sparkSession)
 
     def run(key, table):
@@ -188,7 +188,7 @@ def _by_page(ops: DataFrame, wanted: list[str], rows, schema: str, arrow: pa.Sch
     kinds = {"paint": "string", "path": "array<float>", "gstate": "array<struct<key: string, value: string>>", "text": "array<struct<adjust: double, font_char: string, unicode: string, width: double, is_space: boolean>>"}
     full = ops.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), F.col("op_seq").cast("long").alias("op_seq"), "fn", "args",
-        *(F.col(n).cast(k).alias(n) if n in have else F.lit(None).cast(k).alias(n) for n, k in kinds.items()),
+        *(F.col(n).cast(k).alias(n) if n in have else F.lit(None).cast(k).alias(n) for n, k in kinds.items()), *more,
     )
     return full.where(F.col("fn").isin(wanted)).groupBy("doc_id", "page_no").applyInArrow(run, schema)
 
@@ -245,11 +245,18 @@ def meet(a, b):
 def text_rows(ops: list[dict], fonts: dict | None = None, base=IDENTITY, identity_ctm: bool = False) -> list[dict]:
     """Every glyph token that is shown, with the matrix from glyph space to the world.
 
-    ``fonts``: by reference (scale, vertical). With ``identity_ctm`` transforms of the page
-    are left out, as for a retry.
+    ``fonts``: by reference (scale, vertical); operators that bring their font's ``font_name``, ``font_scale`` and
+    ``font_vertical`` need none. With ``identity_ctm`` transforms of the page are left out, as for a retry.
     """
     fonts = fonts or {}
-    s = Stack(ctm=base, fill=(0.0, 0.0, 0.0), alpha=1.0, font="", size=0.0, direction=1, char=0.0, word=0.0, hscale=1.0, leading=0.0, rise=0.0, mode=0)
+    default = (scalar.FONT_SCALE, False)
+
+    def font_of(op, ref):
+        if op.get("font_scale") is not None:
+            return op.get("font_name") or ref, op["font_scale"], bool(op.get("font_vertical"))
+        return (ref, *fonts.get(ref, default))
+
+    s = Stack(ctm=base, fill=(0.0, 0.0, 0.0), alpha=1.0, font="", scale=scalar.FONT_SCALE, vertical=False, size=0.0, direction=1, char=0.0, word=0.0, hscale=1.0, leading=0.0, rise=0.0, mode=0)
     tm, line, cursor = IDENTITY, [0.0, 0.0], [0.0, 0.0]
     clip, pending, saved_clips, form_clips = None, None, [], []
     out = []
@@ -261,7 +268,7 @@ def text_rows(ops: list[dict], fonts: dict | None = None, base=IDENTITY, identit
 
     def show(op):
         now = s.now
-        scale, vertical = fonts.get(now["font"], (scalar.FONT_SCALE, False))
+        scale, vertical = now["scale"], now["vertical"]
         x = 0.0
         for pos, t in enumerate(op["text"] or []):
             if t["adjust"] is not None:
@@ -314,7 +321,8 @@ def text_rows(ops: list[dict], fonts: dict | None = None, base=IDENTITY, identit
                     now["alpha"] = min(1.0, max(0.0, x))
                 elif pair["key"] == "Font" and pair["value"]:
                     name, _, size = pair["value"].partition(" ")
-                    now["font"], now["size"] = name, abs(_float(size) or now["size"])
+                    now["font"], now["scale"], now["vertical"] = font_of(op, name)
+                    now["size"] = abs(_float(size) or now["size"])
         elif fn == "beginText":
             tm, line[:], cursor[:] = IDENTITY, [0.0, 0.0], [0.0, 0.0]
         elif fn in ("setCharSpacing", "setWordSpacing", "setTextRise"):
@@ -326,7 +334,9 @@ def text_rows(ops: list[dict], fonts: dict | None = None, base=IDENTITY, identit
             now["leading"] = -number(args, 0, 0.0)
         elif fn == "setFont":
             size = number(args, 0, 0.0)
-            now["font"], now["size"], now["direction"] = op["paint"] or now["font"], abs(size), -1 if size < 0 else 1
+            if op["paint"]:
+                now["font"], now["scale"], now["vertical"] = font_of(op, op["paint"])
+            now["size"], now["direction"] = abs(size), -1 if size < 0 else 1
         elif fn == "setTextRenderingMode":
             now["mode"] = max(0, int(number(args, 0, 0)))
         elif fn == "moveText":
@@ -358,9 +368,20 @@ _TOKENS = pa.schema([
 ])
 
 
-def shown_tokens(ops: DataFrame, fonts: dict | None = None, identity_ctm: bool = False) -> DataFrame:
-    """``fonts`` is the document set's font table by reference: (scale, vertical)."""
-    return _by_page(ops, TEXT_OPS, text_rows, TOKENS, _TOKENS, fonts=fonts, identity_ctm=identity_ctm)
+def shown_tokens(ops: DataFrame, fonts: DataFrame | dict | None = None, identity_ctm: bool = False) -> DataFrame:
+    """``fonts``: a table (font_ref, loaded_name, font_scale, vertical), or a small dictionary by reference: (scale, vertical).
+
+    A table is joined to the operators that choose a font, so it may have any size; a font that it lacks has the
+    usual scale and goes by its reference. The token's ``font`` is the loaded name.
+    """
+    if not isinstance(fonts, DataFrame):
+        return _by_page(ops, TEXT_OPS, text_rows, TOKENS, _TOKENS, fonts=fonts, identity_ctm=identity_ctm)
+    c = F.col
+    of_state = F.get(F.split(F.get(F.filter("gstate", lambda x: x["key"] == "Font"), F.lit(0))["value"], " "), F.lit(0)) if "gstate" in ops.columns else F.lit(None).cast("string")
+    known = fonts.select(c("font_ref").alias("_ref"), c("loaded_name").alias("font_name"), F.coalesce("font_scale", F.lit(scalar.FONT_SCALE)).alias("font_scale"), c("vertical").alias("font_vertical")).dropDuplicates(["_ref"])
+    chosen = ops.withColumn("_chosen", F.when(c("fn") == "setFont", c("paint")).when(c("fn") == "setGState", of_state))
+    joined = chosen.join(known, c("_chosen") == c("_ref"), "left").drop("_chosen", "_ref")
+    return _by_page(joined, TEXT_OPS, text_rows, TOKENS, _TOKENS, ("font_name", "font_scale", "font_vertical"), identity_ctm=identity_ctm)
 
 
 # ---- built-in twins

@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.functions.scalar import invert, mat, multiply
+from inkfold.functions.scalar import invert, mat, multiply, transformed_box
 from inkfold.operators import interp
+from inkfold.operators.layout import union_bounds
 from inkfold.plans.session import ship
 
 #: Fixed values.
@@ -60,6 +61,13 @@ def valid_layers(layers: DataFrame) -> DataFrame:
     return layers.where((F.col("width") > 0) & (F.col("height") > 0) & (F.octet_length("data") >= F.col("width").cast("long") * F.col("height") * 4))
 
 
+def only_bounds(pages: DataFrame, layers: DataFrame) -> DataFrame:
+    """The box of a scene of images alone: the pages' boxes and the layers' unit squares under their matrices (structs a ... f)."""
+    corner = lambda v: F.lit(float(v))
+    placed = layers.select("doc_id", transformed_box(F.col("matrix"), corner(0), corner(0), corner(1), corner(1)).alias("b")).select("doc_id", "b.*")
+    return union_bounds(pages, placed)
+
+
 def summary(layers: DataFrame, by: list[str]) -> DataFrame:
     return layers.groupBy(*by).agg(F.count(F.lit(1)).alias("layers"), (F.sum(F.col("width").cast("double") * F.col("height")) / 1e6).alias("megapixels"))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import scalar
 from inkfold.operators import atlas, catalog, coverage, grid, interp, layout, metrics, raster, text
-from inkfold.plans import fixtures
+from inkfold.plans import fixtures, scene
+from inkfold.plans.catalog import _LINE, _page_ops
+from inkfold.plans.catalog import ORACLES as DRAWING
 from inkfold.sources import files
 from inkfold.streaming import camera
 
@@ -172,7 +174,7 @@ def curve_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = [C("px"), C("py"), *map(C, SHAPE)]
     return _curves(spark, sf_dir).select(
         "id", "q", coverage.fill_crossing(*at, C("prim_type")).cast("int").alias("winding"), coverage.fill_crossings(*at, C("prim_type")).cast("int").alias("crossings"),
-        coverage.text_crossing(*at, C("prim_type")).cast("int").alias("glyph"),
+        coverage.text_crossing(*at, C("prim_type")).cast("int").alias("glyph"), coverage.drawn(C("id") % 4 / 1500.0, C("id") % 3 * 1.0, (C("id") % 5).cast("int")).alias("drawn"),
     )
 
 
@@ -247,6 +249,26 @@ def text_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "op_seq", "pos", "font_char", C("matrix")[0].alias("sx"), C("matrix")[4].alias("x"), C("matrix")[5].alias("y"), "mode").select("doc_id", "op_seq", "pos", "font_char", "mode", *_r("sx", "x", "y", digits=4))
 
 
+def page_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' paths and texts as pages of ten documents: extracted, culled, arranged three in a row, and summed up."""
+    doc, page = (C("doc_id") % 10).alias("doc_id"), (F.floor(C("doc_id") / 10) + 1).cast("int").alias("page_no")
+    drawing = _page_ops(spark, sf_dir).select(doc, page, C("op_seq").cast("long"), "fn", "paint", "args", "path", F.lit(None).cast("array<struct<adjust: double, font_char: string, unicode: string, width: double, is_space: boolean>>").alias("text"))
+    writing = _text_ops(spark, sf_dir).select(doc, page, (C("op_seq") + 100).alias("op_seq"), "fn", "paint", "args", F.lit(None).cast("array<float>").alias("path"), "text")
+    users = fixtures.table(spark, sf_dir, "events").select(C("user_id").alias("doc_id")).distinct()
+    pages = users.select(doc, page, F.lit(0.0).alias("min_x"), F.lit(-1.0).alias("min_y"), (C("doc_id") % 7 * 100 + 5000.0).alias("max_x"), (C("doc_id") % 5 + 3.0).alias("max_y"))
+    fonts = spark.createDataFrame([("f1", "Loaded", 0.002, False)], "font_ref string, loaded_name string, font_scale double, vertical boolean")
+    t = scene.totals(scene.arrange(scene.extract(drawing.unionByName(writing), pages, fonts=fonts), 3))
+    return t.select("doc_id", "pages", "segments", "fills", "fill_segments", "texts", "operator_count", "path_count", *_r("min_x", "min_y", "max_x", "max_y"))
+
+
+def font_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text objects once more with a table of fonts: how far each user's text runs, by loaded name."""
+    fonts = fixtures.table(spark, sf_dir, "part").select(F.concat(F.lit("f"), C("p_partkey").cast("string")).alias("font_ref"), F.concat(F.lit("Font "), C("p_size").cast("string")).alias("loaded_name"), ((C("p_partkey") % 3 + 1) / 1000.0).alias("font_scale"), F.lit(False).alias("vertical"))
+    ops = _text_ops(spark, sf_dir).withColumn("paint", F.when(C("fn") == "setFont", F.concat(F.lit("f"), C("doc_id").cast("string"))))
+    t = interp.shown_tokens(ops, fonts)
+    return t.groupBy("doc_id", "font").agg(F.count(F.lit(1)).alias("n"), F.max(F.round(C("matrix")[4], 4)).alias("far")).select("doc_id", "font", "n", *_r("far", digits=4))
+
+
 # ---- catalogs, cameras, loads
 
 
@@ -307,7 +329,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         color_functions, matrix_functions, box_functions, size_functions, text_functions, arg_functions, scene_bounds, raster_summary, raster_placement, atlas_area, atlas_subpaths, curve_crossings, curve_distance, page_operators,
-        paint_state, text_flow, unique_ids, default_ids, unused_files, catalog_manifest, first_file, latest_load, smoothed_rate, better_text, box_pairs,
+        paint_state, text_flow, page_scenes, font_lookup, unique_ids, default_ids, unused_files, catalog_manifest, first_file, latest_load, smoothed_rate, better_text, box_pairs,
     )
 }
 
@@ -400,7 +422,7 @@ ORACLES = {
         roots AS (SELECT id, q, px, a, b, x0, cx, x1, unnest(CASE WHEN abs(a) <= 1e-9 THEN CASE WHEN abs(b) > 1e-9 THEN [-g / b] ELSE [] END WHEN b * b - 4 * a * g >= 0 THEN [(-b - sqrt(b * b - 4 * a * g)) / (2 * a), (-b + sqrt(b * b - 4 * a * g)) / (2 * a)] ELSE [] END) AS t FROM r),
         glyph AS (SELECT id, q, sum(sign(2 * a * t + b)) AS w FROM roots WHERE t >= -1e-5 AND t < 1 - 1e-5::DOUBLE AND (x0 - 2 * cx + x1) * t * t + 2 * (cx - x0) * t + x0 > px AND abs(2 * a * t + b) > 1e-9 GROUP BY id, q)
         SELECT c.id, c.q, CAST(CASE WHEN straight THEN {_LINE_CROSS} ELSE six.w END AS INTEGER) AS winding, CAST(CASE WHEN straight THEN abs({_LINE_CROSS}) ELSE six.k END AS INTEGER) AS crossings,
-            CAST(CASE WHEN straight THEN {_LINE_CROSS} ELSE coalesce(glyph.w, 0) END AS INTEGER) AS glyph FROM c JOIN six USING (id, q) LEFT JOIN glyph USING (id, q)""",
+            CAST(CASE WHEN straight THEN {_LINE_CROSS} ELSE coalesce(glyph.w, 0) END AS INTEGER) AS glyph, id % 4 > 1 AND (id % 3 > 0 OR id % 5 IN (2, 3)) AS drawn FROM c JOIN six USING (id, q) LEFT JOIN glyph USING (id, q)""",
     # The nearest of 256 points of a curve, made exact by Newton's method.
     "curve_distance": f"""WITH RECURSIVE {_CURVES}, near AS (
             SELECT id, q, 0 AS step, t FROM (SELECT *, unnest(range(257)) / 256.0::DOUBLE AS t FROM c) QUALIFY row_number() OVER (PARTITION BY id, q ORDER BY CASE WHEN straight
@@ -439,6 +461,22 @@ ORACLES = {
         c AS (SELECT *, lx + coalesce(sum((second + 10 + gap) / 2) OVER (PARTITION BY doc_id, line ORDER BY op_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cx FROM t),
         g AS (SELECT *, unnest([0, 2]) AS pos FROM c)
         SELECT doc_id, op_seq, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN 'a' ELSE 'b' END AS font_char, CAST(0 AS INTEGER) AS mode, {_rounded(4, sx='20.0::DOUBLE', x='2 * (cx + CASE pos WHEN 0 THEN 0 ELSE second / 2 END) + 5', y='CAST(2 * (ly + rise) + 1 AS DOUBLE)')} FROM g""",
+    "page_scenes": f"""WITH RECURSIVE {_LINE}, drawn AS ({DRAWING["page_strokes"]}), filled AS ({DRAWING["page_fills"]}),
+        boxes AS (SELECT user_id, min(2 * x + 1) AS lx, max(2 * x + 1) AS hx, min(2 * y) AS ly, max(2 * y) AS hy, count(*) AS n, count(*) FILTER (event_id IN (SELECT event_id FROM events WHERE event_type = 'view')) AS views FROM pts GROUP BY user_id),
+        page AS (SELECT *, user_id % 10 AS doc, user_id // 10 AS i, user_id % 7 * 100 + 5000.0::DOUBLE AS w, user_id % 5 + 3.0::DOUBLE AS top, user_id % 5 + 4.0::DOUBLE AS h FROM boxes),
+        gaps AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS k, greatest(24, 0.08 * avg(greatest(w, h)) OVER (PARTITION BY doc)) AS gap FROM page),
+        lines AS (SELECT doc, k // 3 AS line, max(h) + max(gap) AS step FROM gaps GROUP BY doc, k // 3),
+        tops AS (SELECT doc, line, -coalesce(sum(step) OVER (PARTITION BY doc ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS row_top FROM lines),
+        placed AS (SELECT g.*, coalesce(sum(w + gap) OVER (PARTITION BY g.doc, k // 3 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tx, row_top - top AS ty FROM gaps g JOIN tops t ON t.doc = g.doc AND t.line = k // 3)
+        SELECT doc AS doc_id, count(*) AS pages, CAST(sum(merged) AS BIGINT) AS segments, count(*) AS fills, CAST(sum(seg_count) AS BIGINT) AS fill_segments, CAST(sum(2 * views) AS BIGINT) AS texts, CAST(sum(n + 10) AS BIGINT) AS operator_count, count(*) AS path_count,
+            {_rounded(6, min_x='min(lx + tx)', min_y='min(ly + ty)', max_x='max(hx + tx)', max_y='max(hy + ty)')} FROM placed p JOIN drawn d ON d.doc_id = p.user_id JOIN filled f ON f.doc_id = p.user_id GROUP BY doc""",
+    "font_lookup": f"""WITH e AS (SELECT user_id AS doc_id, event_id AS op_seq, event_type AS k, CAST(floor(value) AS BIGINT) AS v FROM events),
+        s AS (SELECT *, sum(CASE WHEN k = 'click' THEN v % 50 ELSE 0 END) OVER w AS lx, sum(CAST(k IN ('click', 'purchase') AS INTEGER)) OVER w AS line, coalesce(last_value(CASE WHEN k = 'signup' THEN v % 5 END IGNORE NULLS) OVER w, 0) AS gap
+            FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY op_seq ROWS UNBOUNDED PRECEDING)),
+        t AS (SELECT s.*, 20 * (p_partkey % 3 + 1) / 1000.0::DOUBLE AS em, 'Font ' || p_size AS font FROM s JOIN part ON p_partkey = doc_id WHERE k = 'view'),
+        u AS (SELECT *, (v % 3 * 100 + 400) * em - v % 4 * 50 * 0.02::DOUBLE + gap AS second, 500 * em + gap AS rest FROM t),
+        c AS (SELECT *, lx + coalesce(sum((second + rest) / 2) OVER (PARTITION BY doc_id, line ORDER BY op_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cx FROM u)
+        SELECT doc_id, font, count(*) * 2 AS n, max(greatest(round(2 * cx + 5, 4), round(2 * (cx + second / 2) + 5, 4))) + 0.0::DOUBLE AS far FROM c GROUP BY doc_id, font""",
     "unique_ids": """WITH n AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS stem FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY k) AS i FROM n)
         SELECT stem || '.pdf' AS name, lower(stem) || CASE WHEN i = 1 THEN '' ELSE '-' || i END AS uid FROM r""",
     "default_ids": """WITH n AS (SELECT upper(string_split(p_name, ' ')[1]) || chr(39) || 's' AS stem FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY stem) AS i FROM n)

@@ -70,12 +70,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, DataFrame] = {}
+
+
+def kept(spark: SparkSession, key: str, make) -> DataFrame:
+    """The table that ``make()`` gave for this key before, or gives now: written once for an application and options key.
+
+    So a change of what only follows it (the pages' arrangement, say) doesn't extract pages anew.
+    """
+    own = f"{spark.sparkContext.applicationId}|{key}"
+    if own not in _KEPT:
+        _KEPT[own] = written(make(), "kept")
+    return _KEPT[own]
+
+
 def release(spark: SparkSession) -> int:
     """Deletes all tables that this application has put into the shared folder; returns how many.
 
     To be called when results that read them have been written; the end of the application calls it too.
     """
     done, sc = 0, spark.sparkContext
+    _KEPT.clear()
     if sc._jsc is None:
         return 0
     while _MADE:

@@ -164,19 +164,28 @@ def replay(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").applyInPandas(lambda pdf: _fold(Camera(), pdf), OUT)
 
 
-def track(events: DataFrame) -> DataFrame:
-    """The same over a stream; a session's state is one small JSON text."""
+def track(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream; a session's state is one small JSON text.
+
+    With ``idle_ms`` a session without events for that long is forgotten, for streams that run on and on; such a
+    stream always has a batch to run, so a trigger that ends with the available data needs None.
+    """
     import json
 
     ship(events.sparkSession)
 
     def update(key, batches: Iterable[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         camera = Camera(json.loads(state.get[0]) if state.exists else None)
         for pdf in batches:
             yield _fold(camera, pdf)
         state.update((json.dumps(camera.s),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return events.groupBy("session_id").applyInPandasWithState(update, OUT, "state string", "append", "NoTimeout")
+    return events.groupBy("session_id").applyInPandasWithState(update, OUT, "state string", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
 
 
 # ---- parts that are plain expressions

@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import os
 import zipfile
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import scalar
 from inkfold.operators import atlas, catalog, coverage, cull, grid, interp, layout, paths, raster, text
+from inkfold.plans import session
 from inkfold.sources import codecs, container, files
 from inkfold.streaming import camera
 
@@ -289,3 +291,25 @@ def test_stream_equals_replay(spark, tmp_path):
     q = camera.track(stream).writeStream.format("memory").queryName("cameras").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("cameras").collect())) == wanted
+    late = camera.track(stream, idle_ms=600_000).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp2")).start()
+    late.processAllAvailable()
+    late.stop()
+    assert sorted(map(tuple, spark.table("late").collect())) == wanted
+
+
+def test_kept_tables_and_their_release(spark):
+    made = []
+    make = lambda: made.append(1) or spark.range(5)
+    first, again = session.kept(spark, "merge:1|cull:1", make), session.kept(spark, "merge:1|cull:1", make)
+    assert first.count() == again.count() == 5 and made == [1]
+    assert session.kept(spark, "merge:0|cull:1", make).count() == 5 and made == [1, 1]
+    path = first.inputFiles()[0]
+    assert session.release(spark) >= 2 and not os.path.exists(path.removeprefix("file://"))
+    assert session.kept(spark, "merge:1|cull:1", make).count() == 5 and made == [1, 1, 1]
+
+
+def test_raster_only_bounds_and_times(spark):
+    pages = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 5.0), (2, 0.0, 0.0, 1.0, 1.0)], "doc_id long, min_x double, min_y double, max_x double, max_y double")
+    layers = spark.createDataFrame([(1, (2.0, 0.0, 0.0, -3.0, 4.0, 1.0))], "doc_id long, matrix struct<a: double, b: double, c: double, d: double, e: double, f: double>")
+    assert sorted(map(tuple, raster.only_bounds(pages, layers).collect())) == [(1, 0, -2, 6, 5), (2, 0, 0, 1, 1)]
+    assert spark.range(1).select(scalar.iso_time(F.lit(0).cast("timestamp"))).first()[0] == "1970-01-01T00:00:00.000Z"
