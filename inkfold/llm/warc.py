@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringStartsWith, WriterCommitMessage
 
-from inkfold.llm.common import columns, prepare, sieve, written
+from inkfold.llm.common import columns, prepare, written
 
 LEAST_SHARED = 100
 SALTS = 16
 FILE_BYTES = 64 << 20
-#: What opening a file costs, in bytes read.
-OPEN_BYTES = 1 << 20
+#: What opening a file costs, in bytes read; payload bytes of a batch of rows; partitions for each core at least, if there are files enough.
+OPEN_BYTES, BATCH_BYTES, WAVES = 1 << 20, 1 << 20, 4
 HEAD = 2048
 RECORD = "page_id long, record_type string, target_uri string, payload_digest string, payload_length long, refers_to long, payload binary"
 #: What can be read besides: any archive's own ids and dates.
@@ -231,7 +231,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         """Files in the order of their names, together up to FILE_BYTES, or less where all cores would not have work."""
         files = sorted(archives(self.path), key=lambda f: f.path)
-        most = min(FILE_BYTES, max(OPEN_BYTES, sum(f.size for f in files) // self.cores))
+        most = min(FILE_BYTES, max(OPEN_BYTES, sum(f.size for f in files) // (self.cores * WAVES)))
         shares, room = [], 0
         for f in files:
             if not shares or f.size + OPEN_BYTES > room:
@@ -310,7 +310,7 @@ class _Reader(DataSourceReader):
                 for row in self._records(stream, path):
                     rows.append(row)
                     size += len(row.get("payload") or b"") + 200
-                    if size > 4 << 20:
+                    if size > BATCH_BYTES:
                         yield self._batch(rows)
                         rows, size = [], 0
             if rows:
@@ -413,9 +413,8 @@ def records(pages: DataFrame, *, id_col: str = "page_id", uri_col: str = "url",
     """Rows to write: equal payloads of at least ``least`` bytes are kept once, others revisit it.
 
     The table of shared payloads holds digests only. It is written first, so the planner
-    knows its size: a small one is broadcast and payloads are not moved at all. Beyond that, only
-    payloads whose digest may be shared (``sieve``) are moved, dealt by digest and salt, so that
-    the pages of one common payload meet its entry in many tasks.
+    knows its size: a small one is broadcast and payloads are not moved at all. Beyond that, rows
+    are dealt by digest and salt, so that the pages of one common payload meet its entry in many tasks.
     """
     row_id, uri, payload = columns([id_col, uri_col, payload_col])
     payload = F.coalesce(payload.cast("string"), F.lit("")).cast("binary")
@@ -424,10 +423,9 @@ def records(pages: DataFrame, *, id_col: str = "page_id", uri_col: str = "url",
     shared = rows.where(F.col("payload_length") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     shared = written(shared.where("n > 1 and first is not null").select("payload_digest", "first"), "shared-payloads")
     salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    maybe, alone = sieve(rows, F.col("payload_digest"), shared.select("payload_digest"))
-    maybe = maybe.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["payload_digest", "salt"], "left").drop("salt")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return maybe.unionByName(alone.withColumn("first", F.lit(None).cast("long"))).select(
+    return rows.join(salted, ["payload_digest", "salt"], "left").select(
         "page_id", F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload_digest", "payload_length",
         F.when(again, F.col("first")).alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"),
     )

@@ -167,7 +167,7 @@ def test_warc_partitions_by_bytes(tmp_path, monkeypatch):
     reader = warc._Reader(f"file://{tmp_path}", StructType([StructField("record_type", StringType())]), 8)
     planned = lambda: [len(p.value) for p in reader.partitions()]
     monkeypatch.setattr(warc, "OPEN_BYTES", 0)
-    assert sum(planned()) == 150 and 8 <= len(planned()) <= 10
+    assert sum(planned()) == 150 and 32 <= len(planned()) <= 40
     monkeypatch.setattr(warc, "FILE_BYTES", 2000)
     assert planned() == [2] * 75
 
