@@ -247,7 +247,7 @@ ENCODINGS = [("interleaved", "none"), ("channel-major", "none"), ("interleaved",
 
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding's bytes in every layout and predictor, as the hash of their bits, and whether they decode to the same floats."""
-    e = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    e = fixtures.spread(fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     ship(spark)
 
     def run(batches):
@@ -268,7 +268,7 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes of all sixteen columns, packed into containers of every layout and read again by the executors: a weighted sum of each column."""
-    e = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    e = fixtures.spread(fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     ship(spark)
 
     def run(batches):

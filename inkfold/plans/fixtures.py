@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that each make much work, on all cores even if their file gives a few tasks only; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line for each order item; a page for each line number."""
     c = F.col
@@ -56,8 +62,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One glyph token for each character of a document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("font"), F.col("text").alias("line"))
-    ch = docs.select("doc_id", "font", F.posexplode(F.filter(F.split("line", ""), lambda x: x != "")).alias("pos", "font_char"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("font"), F.col("text").alias("line")).where("line <> ''")
+    ch = spread(docs).select("doc_id", "font", F.posexplode(F.split("line", "")).alias("pos", "font_char"))
     return ch.withColumn("width", ((F.ascii("font_char") % 10) * 50 + 250).cast("double")).withColumn("is_space", F.col("font_char").isin(" ", "\n", "\t"))
 
 
