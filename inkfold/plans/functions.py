@@ -257,7 +257,8 @@ def page_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = fixtures.table(spark, sf_dir, "events").select(C("user_id").alias("doc_id")).distinct()
     pages = users.select(doc, page, F.lit(0.0).alias("min_x"), F.lit(-1.0).alias("min_y"), (C("doc_id") % 7 * 100 + 5000.0).alias("max_x"), (C("doc_id") % 5 + 3.0).alias("max_y"))
     fonts = spark.createDataFrame([("f1", "Loaded", 0.002, False)], "font_ref string, loaded_name string, font_scale double, vertical boolean")
-    t = scene.totals(scene.arrange(scene.extract(drawing.unionByName(writing), pages, fonts=fonts), 3))
+    scenes = scene.saved(scene.extract(drawing.unionByName(writing), pages, fonts=fonts))
+    t = scene.totals(scene.arrange(scenes, 3))
     return t.select("doc_id", "pages", "segments", "fills", "fill_segments", "texts", "operator_count", "path_count", *_r("min_x", "min_y", "max_x", "max_y"))
 
 

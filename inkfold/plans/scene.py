@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.operators import cull, interp, layout, paths, text
 from inkfold.operators.layout import PER_ROW
+from inkfold.plans.session import written
 
 
 @dataclass
@@ -30,13 +31,18 @@ def extract(ops: DataFrame, pages: DataFrame, *, fonts: DataFrame | dict | None
     """
     if max_pages is not None:
         ops, pages = layout.pages_up_to(ops, max_pages), layout.pages_up_to(pages, max_pages)
-    painted = interp.painted_paths(ops)
+    painted = written(interp.painted_paths(ops), "painted")  # strokes and fills both read it
     strokes = paths.strokes(painted, merge).withColumn("seg_id", F.col("op_seq") * (1 << 32) + F.col("pos"))
     drawn = cull.visible(strokes) if drop_invisible else strokes
     segments = paths.fill_segments(painted)
     return Scenes(pages, drawn, paths.fill_paths(segments), segments, interp.shown_tokens(ops, fonts), interp.path_count(ops))
 
 
+def saved(scenes: Scenes) -> Scenes:
+    """Every table written once, for all that reads it later: other arrangements, totals, exports."""
+    return Scenes(*(written(getattr(scenes, f.name), f"scene-{f.name}") for f in fields(scenes)))
+
+
 def arrange(scenes: Scenes, per_row: int = PER_ROW) -> Scenes:
     """The pages of each document on a grid, all coordinates moved with their page."""
     places = layout.layout(scenes.pages, per_row)
