@@ -270,6 +270,36 @@ def font_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("doc_id", "font").agg(F.count(F.lit(1)).alias("n"), F.max(F.round(C("matrix")[4], 4)).alias("far")).select("doc_id", "font", "n", *_r("far", digits=4))
 
 
+def drawn_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs of the text objects that are drawn, with their boxes: how many, and where, for each user."""
+    glyphs = spark.createDataFrame([("f1", "a", 0, 0.0, 0.0, 0.4, 0.7), ("f1", "b", 1, 0.0, 0.0, 0.5, 0.9)], "font string, font_char string, glyph_id long, min_x double, min_y double, max_x double, max_y double")
+    t = text.instances(interp.shown_tokens(_text_ops(spark, sf_dir)), glyphs)
+    own = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("glyph_id").alias("glyphs"), F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"))
+    return own.select("doc_id", "n", "glyphs", *_r("min_x", "min_y", "max_x", "max_y", digits=4))
+
+
+def image_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as images under changing scales: the most pixels for a unit of the page."""
+    e = fixtures.table(spark, sf_dir, "events").select(C("user_id").alias("doc_id"), F.lit(1).alias("page_no"), C("event_id").alias("op_seq"), "event_type", F.floor("value").cast("long").alias("v"))
+    scale = F.when(C("v") % 3 == 0, 2.0).when(C("v") % 3 == 1, 0.5).otherwise(1.0)
+    args = F.when(C("event_type") == "purchase", F.array(scale, F.lit(0.0), F.lit(0.0), scale, F.lit(3.0), F.lit(0.0))).otherwise(F.array((C("v") % 30).cast("double"), (C("v") % 20).cast("double")))
+    fn = F.when(C("event_type") == "purchase", "transform").when(C("event_type") == "click", "paintImageXObject").otherwise("setFont")
+    h = raster.scale_hints(e.select("doc_id", "page_no", "op_seq", fn.alias("fn"), args.alias("args")))
+    return h.select("doc_id", *_r("hint"))
+
+
+def raster_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 2 x 2 pixels: colours multiplied by opacity, whether anything shows, and the next mip level."""
+    p = fixtures.table(spark, sf_dir, "part").select(C("p_partkey").alias("id"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.unhex(F.when(C("p_partkey") % 9 == 0, F.repeat(F.lit("ff00ff00"), 4)).otherwise(F.md5("p_name"))).alias("data"))
+    small = raster.mips(p).select("id", F.lower(F.hex(C("levels")[1]["data"])).alias("half"), F.size("levels").alias("levels"))
+    return raster.premultiply(p).select("id", F.lower(F.hex("data")).alias("premultiplied")).join(raster.has_visible_alpha(p).select("id", "visible"), "id").join(small, "id")
+
+
+def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fixtures.table(spark, sf_dir, "part").select(C("p_partkey").alias("id"), C("p_partkey") * 37 % 5 * C("p_partkey"), (C("p_size") % 3).cast("long"), (C("p_size") % 2 * 1234).cast("long"), F.floor(C("p_partkey") % 4 / 3).cast("long")).toDF("id", "visible", "fills", "texts", "layers")
+    return metrics.status(p.withColumn("source", C("visible") * 2 + 1)).select("id", "status")
+
+
 # ---- catalogs, cameras, loads
 
 
@@ -330,7 +360,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         color_functions, matrix_functions, box_functions, size_functions, text_functions, arg_functions, scene_bounds, raster_summary, raster_placement, atlas_area, atlas_subpaths, curve_crossings, curve_distance, page_operators,
-        paint_state, text_flow, page_scenes, font_lookup, unique_ids, default_ids, unused_files, catalog_manifest, first_file, latest_load, smoothed_rate, better_text, box_pairs,
+        paint_state, text_flow, page_scenes, font_lookup, drawn_instances, image_hints, raster_bytes, status_lines, unique_ids, default_ids, unused_files, catalog_manifest, first_file, latest_load, smoothed_rate, better_text, box_pairs,
     )
 }
 
@@ -478,6 +508,16 @@ ORACLES = {
         u AS (SELECT *, (v % 3 * 100 + 400) * em - v % 4 * 50 * 0.02::DOUBLE + gap AS second, 500 * em + gap AS rest FROM t),
         c AS (SELECT *, lx + coalesce(sum((second + rest) / 2) OVER (PARTITION BY doc_id, line ORDER BY op_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cx FROM u)
         SELECT doc_id, font, count(*) * 2 AS n, max(greatest(round(2 * cx + 5, 4), round(2 * (cx + second / 2) + 5, 4))) + 0.0::DOUBLE AS far FROM c GROUP BY doc_id, font""",
+    "image_hints": f"""WITH e AS (SELECT user_id AS doc_id, event_id, event_type AS k, CAST(floor(value) AS BIGINT) AS v FROM events),
+        s AS (SELECT *, pow(2.0::DOUBLE, sum(CASE WHEN k <> 'purchase' THEN 0 WHEN v % 3 = 0 THEN 1 WHEN v % 3 = 1 THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY event_id)) AS side FROM e)
+        SELECT doc_id, {_rounded(6, hint="greatest(1, coalesce(max(greatest(v % 30, v % 20) / side) FILTER (k = 'click'), 1))")} FROM s WHERE doc_id IN (SELECT user_id FROM events WHERE event_type IN ('click', 'purchase')) GROUP BY doc_id""",
+    "raster_bytes": """WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN repeat('ff00ff00', 4) ELSE md5(p_name) END AS h, '0123456789abcdef' AS d FROM part),
+        b AS (SELECT id, list_transform(range(16), lambda k: 16 * (strpos(d, substr(h, k * 2 + 1, 1)) - 1) + strpos(d, substr(h, k * 2 + 2, 1)) - 1) AS b FROM p)
+        SELECT id, array_to_string(list_transform(range(16), lambda k: format('{:02x}', CAST(CASE WHEN k % 4 = 3 THEN b[k + 1] ELSE floor(b[k + 1] * b[k // 4 * 4 + 4] / 255 + 0.5) END AS INTEGER))), '') AS premultiplied,
+            b[4] + b[8] + b[12] + b[16] > 0 AS visible, array_to_string(list_transform(range(1, 5), lambda c: format('{:02x}', CAST((b[c] + b[c + 4] + b[c + 8] + b[c + 12] + 2) // 4 AS INTEGER))), '') AS half, CAST(2 AS INTEGER) AS levels FROM b""",
+    "status_lines": """WITH p AS (SELECT p_partkey AS id, p_partkey * 37 % 5 * p_partkey AS visible, p_size % 3 AS fills, p_size % 2 * 1234 AS texts, p_partkey % 4 // 3 AS layers FROM part)
+        SELECT id, CASE WHEN visible = 0 AND fills = 0 AND texts = 0 AND layers = 0 THEN 'nothing to show'
+            ELSE format('{:,} segments, {:,} fills, {:,} texts, {:,} images, {:,.1f}% removed', visible, fills, texts, layers, (1 - visible / (visible * 2 + 1)) * 100) END AS status FROM p""",
     "unique_ids": """WITH n AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS stem FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY k) AS i FROM n)
         SELECT stem || '.pdf' AS name, lower(stem) || CASE WHEN i = 1 THEN '' ELSE '-' || i END AS uid FROM r""",
     "default_ids": """WITH n AS (SELECT upper(string_split(p_name, ' ')[1]) || chr(39) || 's' AS stem FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY stem) AS i FROM n)
@@ -495,3 +535,5 @@ ORACLES = {
     "box_pairs": """WITH b AS (SELECT p_partkey AS id, CAST(p_partkey * 37 % 1000 AS DOUBLE) AS x, CAST(p_partkey * 61 % 1000 + p_size AS DOUBLE) AS y, CASE WHEN p_partkey % 50 = 0 THEN 900.0::DOUBLE WHEN p_partkey % 10 = 0 THEN 70.0::DOUBLE ELSE 2.5::DOUBLE END AS w FROM part)
         SELECT a.id AS a_id, count(*) AS n, CAST(sum(b.id) AS BIGINT) AS b_sum FROM b a JOIN b ON a.x + a.w >= b.x + 10.5 AND a.x <= b.x + 10.5 + b.w AND a.y + a.w / 2 >= b.y AND a.y <= b.y + b.w / 2 GROUP BY a.id""",
 }
+
+ORACLES["drawn_instances"] = f"""WITH t AS ({ORACLES["text_flow"]}) SELECT doc_id, count(*) AS n, CAST(count(*) FILTER (font_char = 'b') AS BIGINT) AS glyphs, {_rounded(4, min_x="min(x)", min_y="min(y)", max_x="max(x + CASE font_char WHEN 'a' THEN 8 ELSE 10 END)", max_y="max(y + CASE font_char WHEN 'a' THEN 28 ELSE 36 END)")} FROM t GROUP BY doc_id"""

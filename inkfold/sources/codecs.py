@@ -99,4 +99,4 @@ def xor_delta(words: Column) -> Column:
 def xor_scan(words: Column) -> Column:
     """The inverse: a running xor. The accumulator is copied at each step, so this is for short arrays."""
     empty = F.array().cast("array<bigint>")
-    return F.aggregate(words, empty, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1) if False else F.get(acc, F.size(acc) - 1), F.lit(0).cast("long")).bitwiseXOR(x))))
+    return F.aggregate(words, empty, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long")).bitwiseXOR(x))))
