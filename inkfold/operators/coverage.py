@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.operators.grid import near_points
@@ -194,12 +194,26 @@ def stroke_points(points: DataFrame, strokes: DataFrame, zoom: float = 1.0, cell
     return met.select(*by, "point_id", "seg_id", "distance", stroke_coverage(c("distance"), c("half_width"), c("flags").bitwiseAND(1) != 0, z).alias("coverage"))
 
 
+#: Layers of a point that are painted over each other at a time.
+STACK = 256
+
+
 def blend(paint: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Source over destination in the order of painting: rows (by..., order..., r, g, b, alpha) on white."""
-    layer = F.struct(*order, *(F.col(n).cast("double").alias(n) for n in ("r", "g", "b", "alpha")))
-    over = lambda acc, x: F.struct(*((x[n] * x["alpha"] + acc[n] * (1 - x["alpha"])).alias(n) for n in "rgb"))
-    white = F.struct(*(F.lit(1.0).alias(n) for n in "rgb"))
-    return paint.groupBy(*by).agg(F.array_sort(F.collect_list(layer)).alias("layers")).select(*by, F.aggregate("layers", white, over).alias("c")).select(*by, "c.*")
+    """Source over destination in the order of painting: rows (by..., order..., r, g, b, alpha) on white.
+
+    Painting over is associative: every STACK layers become one (what they show, and what share of what is
+    below shows through), then those are painted, so no row holds all layers of a point.
+    """
+    rgb = ("r", "g", "b")
+    k = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    layer = F.struct(F.col("_k"), *(F.col(n).cast("double").alias(n) for n in (*rgb, "alpha")))
+    stacks = paint.withColumn("_k", k).withColumn("_stack", F.floor(F.col("_k") / STACK)).groupBy(*by, "_stack").agg(F.array_sort(F.collect_list(layer)).alias("layers"))
+    clear = F.struct(*(F.lit(0.0).alias(n) for n in rgb), F.lit(1.0).alias("through"))
+    onto = lambda acc, x: F.struct(*((x[n] * x["alpha"] + acc[n] * (1 - x["alpha"])).alias(n) for n in rgb), (acc["through"] * (1 - x["alpha"])).alias("through"))
+    stacks = stacks.select(*by, "_stack", F.aggregate("layers", clear, onto).alias("s")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_stack", "s.*"))).alias("stacks"))
+    over = lambda acc, x: F.struct(*((x[n] + acc[n] * x["through"]).alias(n) for n in rgb))
+    white = F.struct(*(F.lit(1.0).alias(n) for n in rgb))
+    return stacks.select(*by, F.aggregate("stacks", white, over).alias("c")).select(*by, "c.*")
 
 
 def raster_uv(px: Column, py: Column, inverse: Column) -> Column:

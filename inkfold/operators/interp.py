@@ -395,8 +395,22 @@ def nesting_depth(ops: DataFrame, by: list[str], order: str) -> DataFrame:
     return s.withColumn("depth", (F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).cast("long")).drop("_s")
 
 
+#: Transforms that are multiplied at a time.
+STRETCH = 1024
+
+
 def transform_chain(ops: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The product of all transforms of a group, in order."""
-    m = F.struct(F.col(order).alias("o"), *(F.get("args", i).alias(n) for i, n in enumerate(scalar.MAT)))
-    moves = ops.where((F.col("fn") == "transform") & (F.size("args") >= 6)).groupBy(*by).agg(F.array_sort(F.collect_list(m)).alias("ms"))
-    return moves.select(*by, F.aggregate("ms", scalar.identity(), scalar.multiply).alias("ctm"))
+    """The product of all transforms of a group, in order.
+
+    Products are associative: every STRETCH transforms become one matrix, then those are multiplied, so no row
+    holds all transforms of a group.
+    """
+    parts = [F.get("args", i).alias(n) for i, n in enumerate(scalar.MAT)]
+    moves = ops.where((F.col("fn") == "transform") & (F.size("args") >= 6)).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+
+    def product(df: DataFrame, keys: list[str], place: str, columns: list) -> DataFrame:
+        ms = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(place), *columns))).alias("ms"))
+        return ms.select(*keys, F.aggregate("ms", scalar.identity(), scalar.multiply).alias("ctm"))
+
+    stretches = product(moves.withColumn("_stretch", F.floor(F.col("_k") / STRETCH)), [*by, "_stretch"], "_k", parts)
+    return product(stretches, by, "_stretch", [F.col(f"ctm.{n}").alias(n) for n in scalar.MAT])

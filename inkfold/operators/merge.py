@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from inkfold.plans.session import ship
 
 #: Fixed values.
 JOIN, COSINE, AWAY = 1e-3, 0.999995, 0.05
@@ -14,7 +21,7 @@ def islands(lines: DataFrame, by: list[str], order: str) -> DataFrame:
     """Adds ``island``: a new one starts where a line doesn't touch its predecessor or one of the two is a point.
 
     These tests look at neighbours only; a chain never crosses an island's border, so the
-    fold below works on short, independent arrays.
+    pass below can deal islands out.
     """
     c = F.col
     w = Window.partitionBy(*by).orderBy(order)
@@ -26,28 +33,50 @@ def islands(lines: DataFrame, by: list[str], order: str) -> DataFrame:
     return lines.withColumn("_new", starts.cast("int")).withColumn("island", (F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long")).drop("_new")
 
 
-def _goes_on(p: Column, x: Column) -> Column:
-    dx, dy, ex, ey = p["x1"] - p["x0"], p["y1"] - p["y0"], x["x1"] - x["x0"], x["y1"] - x["y0"]
-    pp, xx = dx * dx + dy * dy, ex * ex + ey * ey
-    gx, gy = x["x0"] - p["x1"], x["y0"] - p["y1"]
-    cross = dx * (x["y1"] - p["y0"]) - dy * (x["x1"] - p["x0"])
-    return (gx * gx + gy * gy <= JOIN * JOIN) & (pp >= LEAST_SQ) & (xx >= LEAST_SQ) & (dx * ex + dy * ey >= COSINE * F.sqrt(pp * xx)) & (cross * cross / pp <= AWAY * AWAY)
+def goes_on(p, q) -> bool:
+    """Whether line q (x0, y0, x1, y1) carries line p on."""
+    dx, dy, ex, ey = p[2] - p[0], p[3] - p[1], q[2] - q[0], q[3] - q[1]
+    pp, qq = dx * dx + dy * dy, ex * ex + ey * ey
+    gx, gy = q[0] - p[2], q[1] - p[3]
+    if pp < LEAST_SQ or qq < LEAST_SQ or gx * gx + gy * gy > JOIN * JOIN or dx * ex + dy * ey < COSINE * math.sqrt(pp * qq):
+        return False
+    cross = dx * (q[3] - p[1]) - dy * (q[2] - p[0])
+    return cross * cross / pp <= AWAY * AWAY
+
+
+def _chained(keys: int, schema):
+    """Of lines sorted by island and order, the merged ones; only the chain that grows is held, across batches."""
+
+    def run(batches):
+        key = line = None
+        chain = n = 0
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(keys + 4)), strict=True):
+                own, next_line = row[:keys], row[keys:]
+                if own == key and goes_on(line, next_line):
+                    line, n = (*line[:2], *next_line[2:]), n + 1
+                    continue
+                if key is not None:
+                    out.append((*key, chain, *line, n))
+                chain = chain + 1 if own == key else 0
+                key, line, n = own, next_line, 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*key, chain, *line, n), schema, strict=True)], schema=schema)
+
+    return run
 
 
 def chains(lines: DataFrame, by: list[str], order: str) -> DataFrame:
-    """(by..., island, chain, x0, y0, x1, y1, n): the merged lines; each test is against the chain so far."""
-    item = F.struct(F.col(order).alias("o"), *(F.col(n).cast("double").alias(n) for n in ("x0", "y0", "x1", "y1")))
-    groups = islands(lines, by, order).groupBy(*by, "island").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    line = lambda x, n: F.struct(x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"), n.cast("long").alias("n"))
-    empty = F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double, n: bigint>>")
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        longer = F.struct(last["x0"].alias("x0"), last["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"), (last["n"] + 1).alias("n"))
-        merged = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
-        return F.when((F.size(done) > 0) & F.coalesce(_goes_on(last, x), F.lit(False)), merged).otherwise(F.concat(done, F.array(line(x, F.lit(1)))))
-
-    first = F.array(line(F.element_at("items", 1), F.lit(1)))
-    rest = F.slice("items", 2, F.size("items"))
-    folded = groups.select(*by, "island", F.posexplode(F.concat(F.aggregate(rest, F.concat(empty, first), step))).alias("chain", "s"))
-    return folded.select(*by, "island", F.col("chain").cast("long").alias("chain"), "s.*")
+    """(by..., island, chain, x0, y0, x1, y1, n): the merged lines; each test is against the chain so far.
+
+    Islands are dealt out and sorted, and stream through one pass: time is linear and memory constant,
+    however long an island is.
+    """
+    ship(lines.sparkSession)
+    keys, ends = [*by, "island"], ["x0", "y0", "x1", "y1"]
+    dealt = islands(lines, by, order).select(*keys, order, *(F.col(n).cast("double").alias(n) for n in ends)).repartition(*keys).sortWithinPartitions(*keys, order)
+    rows = dealt.select(*keys, *ends)
+    out = StructType([*(rows.schema[k] for k in keys), StructField("chain", LongType()), *(StructField(n, DoubleType()) for n in ends), StructField("n", LongType())])
+    return rows.mapInArrow(_chained(len(keys), to_arrow_schema(out)), out)

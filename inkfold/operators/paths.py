@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.operators.interp import at
-from inkfold.operators.merge import AWAY, COSINE, JOIN, LEAST_SQ
+from inkfold.operators.merge import goes_on
 from inkfold.plans.session import ship
 
 #: Tolerance and depth of halving; squared lengths below which a part is a point.
@@ -61,16 +61,6 @@ def _sq(a, b) -> float:
     return (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2
 
 
-def _goes_on(p, q) -> bool:
-    """Whether line q carries line p on: the same rule as the table operator's."""
-    dx, dy, ex, ey = p[2] - p[0], p[3] - p[1], q[2] - q[0], q[3] - q[1]
-    pp, qq = dx * dx + dy * dy, ex * ex + ey * ey
-    if pp < LEAST_SQ or qq < LEAST_SQ or _sq(p[2:], q[:2]) > JOIN * JOIN or dx * ex + dy * ey < COSINE * (pp * qq) ** 0.5:
-        return False
-    cross = dx * (q[3] - p[1]) - dy * (q[2] - p[0])
-    return cross * cross / pp <= AWAY * AWAY
-
-
 def stroke_segments(path, m, flags: int = 0, merge: bool = True):
     """(source count, rows (x0, y0, cx, cy, x1, y1, type)) of a stroked path."""
     out, pending, source = [], None, 0
@@ -92,7 +82,7 @@ def stroke_segments(path, m, flags: int = 0, merge: bool = True):
                 out.append((*a, *a, *a, 0))
             return
         source += 1
-        if pending is not None and merge and _goes_on(pending, (*a, *b)):
+        if pending is not None and merge and goes_on(pending, (*a, *b)):
             pending = (*pending[:2], *b)
             return
         flush()

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalar
-from inkfold.operators import atlas, catalog, coverage, cull, grid, interp, layout, paths, raster, text
+from inkfold.operators import atlas, catalog, coverage, cull, grid, interp, layout, merge, paths, raster, text
 from inkfold.plans import session
 from inkfold.sources import codecs, container, files
 from inkfold.streaming import camera
@@ -317,3 +317,24 @@ def test_raster_only_bounds_and_times(spark):
     layers = spark.createDataFrame([(1, (2.0, 0.0, 0.0, -3.0, 4.0, 1.0))], "doc_id long, matrix struct<a: double, b: double, c: double, d: double, e: double, f: double>")
     assert sorted(map(tuple, raster.only_bounds(pages, layers).collect())) == [(1, 0, -2, 6, 5), (2, 0, 0, 1, 1)]
     assert spark.range(1).select(scalar.iso_time(F.lit(0).cast("timestamp"))).first()[0] == "1970-01-01T00:00:00.000Z"
+
+
+def test_long_groups_are_taken_in_parts(spark):
+    """Hundreds of layers on a point, thousands of transforms of a page, and a line of many batches."""
+    rng = np.random.default_rng(5)
+    layers = [(1, i, *map(float, rng.random(3)), float(rng.choice([0.0, 0.05, 1.0], p=[0.2, 0.797, 0.003]))) for i in range(700)]
+    want = np.ones(3)
+    for _, _, r, g, b, alpha in layers:
+        want = np.array([r, g, b]) * alpha + want * (1 - alpha)
+    found = coverage.blend(spark.createDataFrame(layers, "p int, o int, r double, g double, b double, alpha double"), ["p"], ["o"]).first()
+    assert [found[c] for c in "rgb"] == pytest.approx(want.tolist())
+    angles = rng.random(2500) * 0.01
+    ops = [(1, i, "transform", [math.cos(a), math.sin(a), -math.sin(a), math.cos(a), 0.1, -0.2]) for i, a in enumerate(angles)]
+    m = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+    for *_, n in ops:
+        m = interp.times(m, n)
+    found = interp.transform_chain(spark.createDataFrame(ops, "p int, o int, fn string, args array<double>"), ["p"], "o").first()
+    assert list(found["ctm"]) == pytest.approx(list(m))
+    lines = spark.range(30_000).select((F.col("id") % 2).alias("p"), "id", F.floor(F.col("id") / 2).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (F.floor(F.col("id") / 2) + 1).cast("double").alias("x1"), F.when(F.col("id") == 20_000, 5.0).otherwise(0.0).alias("y1"))
+    found = sorted(tuple(r) for r in merge.chains(lines, ["p"], "id").select("p", "island", "chain", "x0", "x1", "n").collect())
+    assert found == [(0, 0, 0, 0, 10_000, 10_000), (0, 0, 1, 10_000, 10_001, 1), (0, 1, 0, 10_001, 15_000, 4_999), (1, 0, 0, 0, 15_000, 15_000)]
