@@ -7,7 +7,9 @@ gives every inner product up to a bound known from the quantisation errors; pair
 upper bound reaches the k-th best lower bound survive and are recomputed from the original
 vectors in double precision, summed in order. Each tile keeps a query's k best; these
 are merged by bounded heaps, over groups of tiles first and over the groups then.
-The bounds are strict, so the result is exact.
+The bounds are strict, so the result is exact. Exactness has its price: with a fixed share of queries the
+vectors moved grow with the square of the rows, |queries| / QUERY_BLOCK copies of each candidate, so blocks
+should be as large as a task's memory allows.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 take no part, neither do rows without id. Vectors meet only those of their own dimension.
