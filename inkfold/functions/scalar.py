@@ -246,11 +246,12 @@ def auto_pages_per_row(n: Column) -> Column:
     return clamp(F.ceil(F.sqrt(n.cast("double"))).cast("double"), 1, 100).cast("int")
 
 
-def texture_dims(n: Column, most: int) -> Column:
-    """(width, height) of a near-square texture for n texels; an error if it would be too high."""
+def texture_dims(n: Column, most: int, *, checked: bool = True) -> Column:
+    """(width, height) of a near-square texture for n texels; with ``checked`` an error if it would be too high."""
     w = clamp(F.ceil(F.sqrt(F.greatest(n, F.lit(1)).cast("double"))).cast("double"), 1, most).cast("long")
     h = F.ceil(F.greatest(n, F.lit(1)) / w).cast("long")
-    h = F.when(h <= most, h).otherwise(F.raise_error(F.lit("too many texels for the largest texture")).cast("long"))
+    if checked:
+        h = F.when(h <= most, h).otherwise(F.raise_error(F.lit("too many texels for the largest texture")).cast("long"))
     return F.struct(w.alias("width"), h.alias("height"))
 
 

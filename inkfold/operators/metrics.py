@@ -22,8 +22,8 @@ def reductions(scenes: DataFrame) -> DataFrame:
 
 
 def utilisation(n: Column, most: int) -> Column:
-    """Per cent of the largest texture that n texels take."""
-    d = texture_dims(n, most)
+    """Per cent of the largest texture that n texels take; over 100 where they don't fit."""
+    d = texture_dims(n, most, checked=False)
     return d["width"] * d["height"] / (float(most) * most) * 100
 
 

@@ -1,9 +1,28 @@
 """Cases that only larger tables meet."""
 
+import duckdb
 import numpy as np
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from inkfold.operators import grid
+from inkfold.functions import scalar
+from inkfold.operators import grid, metrics
+from inkfold.plans import functions
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def in_sql(sql, **views):
+    con = duckdb.connect()
+    for name, source in views.items():
+        con.execute(f"CREATE VIEW {name} AS {source}")
+    return con.execute(sql).fetchall()
+
+
+def same(df, sql, **views):
+    con_rows = in_sql(sql, **views)
+    return sorted(map(tuple, df.collect())) == sorted(con_rows)
 
 
 def test_overlap_sums_without_pairs(spark):
@@ -18,3 +37,17 @@ def test_overlap_sums_without_pairs(spark):
     equal = spark.range(3000).select("id", *(F.lit(v).alias(n) for n, v in zip(grid.BOX, (0.0, 0.0, 1.0, 1.0), strict=True)))
     assert [tuple(r) for r in grid.overlap_sums(equal, equal).select("n", "b_sum").distinct().collect()] == [(3000, 2999 * 1500)]
     assert not grid.overlap_sums(equal.where("id < 0"), equal).count()
+
+
+def test_sizes_beyond_the_largest_texture(spark, tmp_path):
+    """37 times a part's key passes 4096 x 4096 texels at part 453,438."""
+    part = spark.read.parquet(f"{SMALL}/part.parquet")
+    part.withColumn("p_partkey", F.col("p_partkey") + 453_400).write.parquet(str(tmp_path / "part.parquet"))
+    got = functions.size_functions(spark, str(tmp_path))
+    want = functions.ORACLES["size_functions"]
+    columns = ", ".join(got.columns)
+    assert same(got, f"SELECT {columns} FROM ({want})", part=f"SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    n = F.lit(4096 * 4096 + 1)
+    assert spark.range(1).select(metrics.utilisation(n, 4096).alias("v")).first()["v"] > 100
+    with pytest.raises(PySparkException, match="too many texels"):
+        spark.range(1).select(scalar.texture_dims(n, 4096).alias("v")).collect()
