@@ -60,11 +60,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One glyph token for each character of a document."""
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one line of text, a glyph token for each character."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("font"), F.col("text").alias("line")).where("line <> ''")
-    ch = spread(docs).select("doc_id", "font", F.posexplode(F.split("line", "")).alias("pos", "font_char"))
-    return ch.withColumn("width", ((F.ascii("font_char") % 10) * 50 + 250).cast("double")).withColumn("is_space", F.col("font_char").isin(" ", "\n", "\t"))
+    return spread(docs)
+
+
+def glyph_widths(codes):
+    """Widths of an array of code points."""
+    return (codes % 10 * 50 + 250).astype(float)
 
 
 def operators(spark: SparkSession, sf_dir: str) -> DataFrame:

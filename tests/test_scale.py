@@ -7,8 +7,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalar
-from inkfold.operators import grid, metrics
-from inkfold.plans import functions
+from inkfold.operators import grid, metrics, text
+from inkfold.plans import catalog, fixtures, functions
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -51,3 +51,27 @@ def test_sizes_beyond_the_largest_texture(spark, tmp_path):
     assert spark.range(1).select(metrics.utilisation(n, 4096).alias("v")).first()["v"] > 100
     with pytest.raises(PySparkException, match="too many texels"):
         spark.range(1).select(scalar.texture_dims(n, 4096).alias("v")).collect()
+
+
+def test_long_lines_are_placed_in_parts(spark):
+    """Three parts of a line in one row, and lines of two fonts between them; tokens are neither moved nor sorted."""
+    long = "ab é\n😀" * (text.PLACED * 5 // 12)
+    assert len(long) > 2 * text.PLACED
+    lines = [(3, "f", "xa"), (2, "f", long), (1, "g", "b a"), (4, "f", None)]
+    df = spark.createDataFrame(lines, "doc_id long, font string, line string").coalesce(1)
+    placed = text.line_advances(df, ["doc_id"], fixtures.glyph_widths)
+    want, first, n = [], {}, {}
+    for doc, font, line in sorted(lines):
+        x = 0.0
+        for pos, ch in enumerate(line or ""):
+            first.setdefault((font, ch), len(first))
+            n[font, ch] = n.get((font, ch), 0) + 1
+            width = float(ord(ch) % 10 * 50 + 250)
+            if ch not in " \n\t":
+                want.append((doc, font, ch, pos, width, x))
+            x += width * 10.0 * 0.001
+    assert sorted(map(tuple, placed.collect())) == sorted(want)
+    assert {tuple(r) for r in text.line_glyph_dictionary(df, ["doc_id"]).collect()} == {(*k, n[k], i) for k, i in first.items()}
+    for query in (catalog.text_in_page, catalog.text_bounds, catalog.text_instances):
+        plan = query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Generate" not in plan
