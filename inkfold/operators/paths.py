@@ -169,8 +169,16 @@ _ROW = "x0 double, y0 double, cx double, cy double, x1 double, y1 double, prim_t
 _NAMES = ["x0", "y0", "cx", "cy", "x1", "y1"]
 
 
-def _flattened(df: DataFrame, keep: list[str], rows, extra: str = "", extra_names: tuple = ()) -> DataFrame:
-    """``rows(record)`` yields tuples (pos, *extra, x0 ... y1, type)."""
+#: Rows of segments that leave a task at a time.
+FLATTENED = 1 << 14
+
+
+def _flattened(df: DataFrame, keep: list[str], need: list[str], rows, extra: str = "", extra_names: tuple = ()) -> DataFrame:
+    """``rows(record)`` yields tuples (pos, *extra, x0 ... y1, type), which come with the columns ``keep`` of the record.
+
+    ``need`` are columns that only ``rows`` reads, as the path: they aren't repeated with each segment.
+    Records are taken one at a time, so memory follows the longest path, not the batch.
+    """
     ship(df.sparkSession)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", pos long{extra}, {_ROW}"
     arrow = df.select(*keep).schema
@@ -181,12 +189,21 @@ def _flattened(df: DataFrame, keep: list[str], rows, extra: str = "", extra_name
         kept = to_arrow_schema(arrow)
         fields = [*kept, pa.field("pos", pa.int64()), *(pa.field(n, pa.int64()) for n in extra_names), *(pa.field(n, pa.float64()) for n in _NAMES), pa.field("prim_type", pa.int32())]
         names = [f.name for f in fields]
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], names)
+        out = []
         for batch in batches:
-            out = [(*(r[c] for c in keep), *x) for r in batch.to_pylist() for x in rows(r)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], names)
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                own = tuple(r[c] for c in keep)
+                for x in rows(r):
+                    out.append((*own, *x))
+                    if len(out) >= FLATTENED:
+                        yield made(out)
+                        out = []
+        if out:
+            yield made(out)
 
-    return df.mapInArrow(run, schema)
+    return df.select(*keep, *need).mapInArrow(run, schema)
 
 
 def strokes(painted: DataFrame, merge: bool = True) -> DataFrame:
@@ -198,7 +215,7 @@ def strokes(painted: DataFrame, merge: bool = True) -> DataFrame:
         for i, x in enumerate(out):
             yield (i, 0 if i else n, *x)
 
-    flat = _flattened(p, ["doc_id", "page_no", "op_seq", "half_width", "flags", "stroke_rgb", "stroke_alpha", "ctm", "path"], rows, ", source long", ("source",))
+    flat = _flattened(p, ["doc_id", "page_no", "op_seq", "half_width", "flags", "stroke_rgb", "stroke_alpha"], ["ctm", "path"], rows, ", source long", ("source",))
     c = F.col
     return flat.select(
         "doc_id", "page_no", "op_seq", "pos", "source", *_NAMES, "prim_type", "half_width", *(c("stroke_rgb")[i].alias(n) for i, n in enumerate("rgb")), c("stroke_alpha").alias("alpha"), "flags"
@@ -209,7 +226,7 @@ def fill_segments(painted: DataFrame) -> DataFrame:
     """Segments of visibly filled paths; a path without segments has no row, so it is no fill."""
     p = painted.where("is_fill and fill_alpha > 1e-3")
     rows = lambda r: ((i, *x) for i, x in enumerate(outline(r["path"], r["ctm"], closes=True, error=SHAPE_ERROR, depth=SHAPE_DEPTH)))
-    flat = _flattened(p, ["doc_id", "page_no", "op_seq", "rule", "fill_rgb", "fill_alpha", "is_stroke", "stroke_alpha", "ctm", "path"], rows)
+    flat = _flattened(p, ["doc_id", "page_no", "op_seq", "rule", "fill_rgb", "fill_alpha", "is_stroke", "stroke_alpha"], ["ctm", "path"], rows)
     has_stroke = F.col("is_stroke") & (F.col("stroke_alpha") > 1e-3)
     return flat.select("doc_id", "page_no", "op_seq", "pos", *_NAMES, "prim_type", "rule", *(F.col("fill_rgb")[i].alias(n) for i, n in enumerate("rgb")), F.col("fill_alpha").alias("alpha"), has_stroke.alias("has_stroke"))
 
@@ -233,4 +250,4 @@ def glyph_segments(outlines: DataFrame) -> DataFrame:
     """(font, font_char, pos, segment): outlines of distinct glyphs (font, font_char, path)."""
     identity = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
     rows = lambda r: ((i, *x) for i, x in enumerate(outline(r["path"] or [], identity, closes=False, error=GLYPH_ERROR, depth=GLYPH_DEPTH)))
-    return _flattened(outlines, ["font", "font_char", "path"], rows).drop("path")
+    return _flattened(outlines, ["font", "font_char"], ["path"], rows)
