@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions.scalar import power_of_two
+from inkfold.plans.session import written
 
 #: Fixed values.
 BASE, INNER_LOW, INNER_HIGH, PAD = 96.0, 8, 256, 8
@@ -55,6 +56,7 @@ def placements(glyphs: DataFrame, most: int = MOST_SIDE) -> DataFrame:
     area) are packed on the driver; the first scale of the ladder that fits is taken.
     """
     spark = glyphs.sparkSession
+    glyphs = written(glyphs.select("glyph_id", "min_x", "min_y", "max_x", "max_y"), "glyphs")  # every scale reads them
     schema = "glyph_id long, x int, y int, tile_w int, tile_h int, u0 double, v0 double, u1 double, v1 double, atlas_w int, atlas_h int"
     limit = most * most // (INNER_LOW + 2 * PAD) ** 2
     for share in LADDER:

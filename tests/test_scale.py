@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalar
-from inkfold.operators import grid, interp, metrics, paths, text
+from inkfold.operators import atlas, grid, interp, metrics, paths, text
 from inkfold.plans import catalog, fixtures, functions
 
 SMALL = "/root/testdata/sf0.001"
@@ -97,3 +97,17 @@ def test_long_paths_are_not_repeated_with_each_segment(spark, kind):
     made = next(x for x in rows._jdf.queryExecution().analyzed().toString().split("\n") if "MapInArrow" in x)
     assert "path#" not in made.split(")#")[1] and "ctm#" not in made.split(")#")[1]
     assert rows.agg(F.count("*"), F.max("pos"), F.min("doc_id"), F.max("x1")).first()[:] == (n + (kind == "fills"), n - (kind == "strokes"), 7, float(n))
+
+
+def test_glyphs_are_read_once_for_all_scales(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    boxes = spark.range(20).select(F.col("id").alias("glyph_id"), *(F.lit(v).alias(n) for n, v in zip(grid.BOX, (0.0, 0.0, 1.0, 1.0), strict=True)))
+    placed = atlas.placements(boxes.mapInArrow(counted, boxes.schema), 256).collect()
+    assert len(placed) == 20 and {r["tile_w"] for r in placed} == {51}  # the last of six scales
+    assert read.value == 20
