@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions.scalar import FLAG_HAIRLINE, FLAG_ROUND_CAP, INVISIBLE_ALPHA, OPAQUE_ALPHA, f32, quantize
-from inkfold.plans.session import ship
+from inkfold.plans.session import ship, written
 
 #: Fixed values.
 POSITION, STYLE, KIND = 1000, 10000, 10
@@ -162,9 +162,21 @@ def cull(strokes: DataFrame, *, stages: int = 4) -> DataFrame:
     return s.withColumn("reason", F.when(F.col("inside"), "contained").otherwise(F.col("reason"))).drop("inside")
 
 
-def visible(strokes: DataFrame, **options) -> DataFrame:
-    """What is left, original order of ids kept."""
-    return cull(strokes, **options).where("reason is null").drop("reason")
+def visible(strokes: DataFrame, *, stages: int = 4) -> DataFrame:
+    """What is left, original order of ids kept: the rows of ``cull`` without a reason, none else being carried along.
+
+    The first ids of keys are written, so that the planner knows how few they are and broadcasts them where it can: then
+    no stroke is moved for them, and only first strokes are tested for containment.
+    """
+    s = stored(strokes).where(~F.coalesce(transparent(), F.lit(False)) & ~F.coalesce(degenerate(), F.lit(False)))
+    keys = ["doc_id", "page_no", *[f"k{i}" for i in range(13)]]
+    row = ["doc_id", "page_no", "seg_id"]
+    first = s.select(*row, *duplicate_key()).groupBy(*keys).agg(F.min("seg_id").alias("seg_id"))
+    s = s.join(written(first.select(*row), "first"), row, "left_semi")
+    if stages < 4:
+        return s
+    s = written(s, "distinct")
+    return s.join(contained(s), row, "left_anti")
 
 
 def stage_counts(culled: DataFrame) -> DataFrame:

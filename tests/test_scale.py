@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalar
-from inkfold.operators import atlas, grid, interp, metrics, paths, text
+from inkfold.operators import atlas, cull, grid, interp, metrics, paths, text
 from inkfold.plans import catalog, fixtures, functions
 
 SMALL = "/root/testdata/sf0.001"
@@ -118,3 +118,19 @@ def test_vectors_are_packed_a_few_at_a_time():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["vec_id"])
     parts = list(catalog._slices([batch, batch.slice(0, 5)]))
     assert max(p.num_rows for p in parts) == catalog.PACKED and [v for p in parts for v in p.column(0).to_pylist()] == [*range(1000), *range(5)]
+
+
+def test_visible_strokes_read_their_input_twice(spark):
+    """Once for the first ids of keys, once for their rows; the result is that of the culling with reasons."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    strokes = fixtures.strokes(spark, SMALL)
+    want = sorted(r["seg_id"] for r in cull.cull(strokes).where("reason is null and page_no = 2").collect())
+    n = strokes.count()
+    assert sorted(r["seg_id"] for r in cull.visible(strokes.mapInArrow(counted, strokes.schema)).where("page_no = 2").collect()) == want
+    assert 0 < read.value <= 2 * n
